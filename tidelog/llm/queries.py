@@ -1,7 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import language_id
+from . import language_id, token_file
 
-QUERIES = {"op8_language_id": language_id.op8_language_id}
+QUERIES = {
+    "op3_token_file": token_file.op3_token_file,
+    "op8_language_id": language_id.op8_language_id,
+}
 
 SQL: dict[str, str] = {}
