@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import language_id, token_file
+from . import language_id, minhash_join, token_file
 
 QUERIES = {
     "op3_token_file": token_file.op3_token_file,
+    "op4_minhash_join": minhash_join.op4_minhash_join,
     "op8_language_id": language_id.op8_language_id,
 }
 
