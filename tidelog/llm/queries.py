@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import language_id, minhash_join, token_file
+from . import decontaminate, language_id, minhash_join, poisson_mix, token_file
 
 QUERIES = {
+    "op1_poisson_mix": poisson_mix.op1_poisson_mix,
     "op3_token_file": token_file.op3_token_file,
     "op4_minhash_join": minhash_join.op4_minhash_join,
     "op8_language_id": language_id.op8_language_id,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op1_poisson_mix": poisson_mix.OP1_SQL}
