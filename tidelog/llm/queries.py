@@ -1,8 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+
 from . import decontaminate, language_id, minhash_join, poisson_mix, token_file
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_poisson_mix": poisson_mix.op1_poisson_mix,
     "op3_token_file": token_file.op3_token_file,
     "op4_minhash_join": minhash_join.op4_minhash_join,
