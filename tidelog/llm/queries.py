@@ -2,11 +2,12 @@
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, minhash_join, poisson_mix, token_file
+from . import decontaminate, epsilon_grid, language_id, minhash_join, poisson_mix, token_file
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_poisson_mix": poisson_mix.op1_poisson_mix,
+    "op2_epsilon_grid": epsilon_grid.op2_epsilon_grid,
     "op3_token_file": token_file.op3_token_file,
     "op4_minhash_join": minhash_join.op4_minhash_join,
     "op8_language_id": language_id.op8_language_id,
