@@ -54,9 +54,12 @@ def test_against_brute_force(spark, width):
     assert got(spark, rows, width) == brute(rows, width, 80)
 
 
-def test_large_nodes_and_tiles(spark, monkeypatch):
-    """With tiny leaves every path runs: stars, branching, tiles."""
+@pytest.mark.parametrize("stray,small", [(0, 0), (3, 1 << 17), (1024, 0)])
+def test_large_nodes_and_tiles(spark, monkeypatch, stray, small):
+    """With tiny leaves every path runs: stars, strays, branching, tiles; and both ways to label components."""
     monkeypatch.setattr(op, "LEAF", 4)
+    monkeypatch.setattr(op, "STRAY", stray)
+    monkeypatch.setattr("tidelog.llm.common.SMALL", small)
     monkeypatch.setattr(op, "DEEPEST", 3)
     r = random.Random(5)
     chain = [[f"c{i}" for i in range(k, k + 40)] for k in range(60)]  # each is near its neighbours only

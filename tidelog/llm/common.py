@@ -90,17 +90,33 @@ def _contract(batches):
         yield pd.DataFrame({"a": np.array([x for x, _ in ids], "int64"), "b": np.array([r for _, r in ids], "int64")})
 
 
+SMALL = 1 << 17  # edges that one task may hold: 2 MB
+
+
+def _stars(batches):
+    """All edges at once, as (id, root) stars."""
+    f = Forest()
+    for pdf in batches:
+        for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            f.join(x, y)
+    ids = [(x, f.find(x)) for x in list(f.up)]
+    yield pd.DataFrame({"a": np.array([x for x, r in ids if x != r], "int64"), "b": np.array([r for x, r in ids if x != r], "int64")})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star steps on the edge table, after contracting each partition's
-    edges with a local union-find. Hubs meet in joins that AQE can split, never in one group. Null ends
+    edges with a local union-find; up to SMALL contracted edges are finished by one task. Hubs meet in joins that AQE can split, never in one group. Null ends
     and loops are ignored; repeated edges change nothing; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    cur = written(pairs.distinct().mapInPandas(_contract, "a long, b long").distinct(), "edges")
+    cur = written(pairs.mapInPandas(_contract, "a long, b long").distinct(), "edges")
     state = None
-    while True:
+    if cur.count() <= SMALL:
+        cur = written(cur.coalesce(1).mapInPandas(_stars, "a long, b long"), "edges")
+        state = "done"
+    while state != "done":
         now = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state or not now[0]:
             break

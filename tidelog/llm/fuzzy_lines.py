@@ -9,7 +9,7 @@ Texts are packed into blocks, in each of which equal lines are one. A block send
 each, to buckets; a bucket answers with the keys that other lines share, and only those lines go on. Equal
 lines of all blocks are then one class, by a pre-aggregated hash. Classes are compared as in the chosen-path
 join, band by band: first a forest (or, in a band of over LEAF lines, a star), confirmed and labelled; then
-only pairs between labels, tile by tile where a band is large. No band is capped.
+only pairs between labels, in strips or tiles where a band is large. No band is capped.
 
 Defined results: lines end at "\\n"; blank lines are always kept, and so are the lines of a document with a
 null id, which remove none elsewhere. A line shorter than WIDTH is one shingle. A null text has no lines and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import repeat_tree
 from .common import components, drop, table, written
-from .minhash_join import FAR, FEW, LEAF, _labelled, _sizes, _small, _tiles, mix
+from .minhash_join import FAR, FEW, LEAF, _labelled, _sizes, _small, _stray_or_split, _tiles, mix
 
 WIDTH, ROWS, BANDS, COORDS = 5, 5, 20, 128
 BUCKET = 8 << 20
@@ -193,7 +193,8 @@ def line_components(reps: DataFrame, percent: int) -> DataFrame:
     if known:
         labelled = _labelled(members.where(F.col("size") > LEAF), comps)
         mixed = _sizes(labelled).where("lo <> hi").select("node")
-        tiles = _tiles(written(labelled.join(mixed, "node", "left_semi"), "mixed"), percent)
+        strips, rest = _stray_or_split(written(labelled.join(mixed, "node", "left_semi").drop("size"), "mixed"), percent)
+        tiles = strips.union(_tiles(rest, percent))
         more = tiles if more is None else more.union(tiles)
     if more is not None:
         rest = written(more.distinct().join(proposed, ["a", "b"], "left_anti"), "rest")

@@ -11,8 +11,9 @@ What keeps it whole and linear under skew:
   connected components. Only then are further pairs looked at, and only between different labels, so a
   group of copies never becomes all its pairs;
 - a node over LEAF links each member with one pivot first. If that gives all its members one label it is
-  finished; else its members branch on, to DEEPEST levels, and what is still large is compared tile by
-  tile, whole. No node, bucket or group is capped.
+  finished. If up to STRAY members have other labels than the pivot, these meet every chunk of the others;
+  else the members branch on, to DEEPEST levels, and what is still large is compared tile by tile, whole.
+  No node, bucket or group is capped.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing (it is its own
 component); a text with fewer words than the width is one shingle. Rows that share a doc_id share a vertex:
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Forest, components, drop, table, written
 
 TREES, BRANCHES, COORDS, LEAF, DEEPEST = 5, 2, 128, 256, 6
+STRAY = 1024
+FEW = 50_000  # large nodes that may be broadcast: 3 MB
 FAR = 34  # differing bits of 128 that a pair at similarity 0.8 exceeds with probability under 1e-6
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -97,40 +100,33 @@ def children(keys: np.ndarray, sig: np.ndarray) -> np.ndarray:
 ROW = "node long, id long, n int, s1 long, s2 long, label long"
 
 
-def _expand(pdf: pd.DataFrame, nodes: np.ndarray, sig: bool) -> pd.DataFrame:
-    """A row for each (row, node)."""
+def _expand(pdf: pd.DataFrame, nodes: np.ndarray) -> pd.DataFrame:
+    """A row for each (row, node), without signatures: these are joined to the few rows that branch on."""
     at = np.repeat(np.arange(len(pdf)), nodes.shape[1])
-    out = pdf.iloc[at].assign(node=nodes.ravel().view("int64"))
-    return out[["node", "id", "n", "s1", "s2", "label", *["sig"] * sig]]
+    return pdf[["id", "n", "s1", "s2", "label"]].iloc[at].assign(node=nodes.ravel().view("int64"))
 
 
 def _sig(pdf: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), COORDS)
 
 
-def _plant(with_sig: bool):
+def _plant(batches):
     """Members of the nodes at the second level of every tree."""
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            for k in range(0, len(pdf), 2000):
-                some = pdf.iloc[k : k + 2000]
-                sig, found = _sig(some), []
-                for t in range(TREES):
-                    root = mix(np.full(len(some), t + 1, np.uint64))
-                    for key in children(root, sig).T:
-                        found += list(children(key, sig).T)
-                yield _expand(some, np.stack(found, 1), with_sig)
-
-    return run
+    for pdf in batches:
+        for k in range(0, len(pdf), 2000):
+            some = pdf.iloc[k : k + 2000]
+            sig, found = _sig(some), []
+            for t in range(TREES):
+                root = mix(np.full(len(some), t + 1, np.uint64))
+                for key in children(root, sig).T:
+                    found += list(children(key, sig).T)
+            yield _expand(some, np.stack(found, 1))
 
 
 def _branch(batches):
     for pdf in batches:
         if len(pdf):
-            yield _expand(pdf, children(pdf["node"].to_numpy("int64").view("uint64"), _sig(pdf)), True)
+            yield _expand(pdf, children(pdf["node"].to_numpy("int64").view("uint64"), _sig(pdf)))
 
 
 def _near(percent: int):
@@ -252,6 +248,20 @@ def _tiles(large: DataFrame, percent: int) -> DataFrame:
     return _small(spread, percent, False)
 
 
+def _stray_or_split(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes with several labels: the pairs of those with few strays, and the members of the rest."""
+    lead = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("label", "id").alias("lead"))
+    members = members.join(lead, "node").withColumn("stray", (F.col("label") != F.col("lead")).cast("int"))
+    strays = members.where("stray = 1").groupBy("node").agg(F.count(F.lit(1)).alias("strays"))
+    members = members.join(strays, "node")
+    few = members.where(F.col("strays") <= STRAY)
+    chunks = F.ceil(F.col("size") / LEAF).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    own = F.array(F.pmod(F.xxhash64("id"), chunks))
+    strips = few.withColumn("chunk", F.explode(F.when(F.col("stray") == 1, every).otherwise(own))).withColumn("node", F.xxhash64("node", "chunk"))
+    return _small(strips, percent, False), members.where(F.col("strays") > STRAY).drop("lead", "stray", "strays")
+
+
 def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(described rows: doc_id, n, f1, f2; components over class representatives: id, component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -259,11 +269,13 @@ def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     reps = described.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     reps = written(reps.select("id", "n", "s1", "s2", F.col("id").alias("label"), "sig"), "classes")
 
-    def plant(of, with_sig=False):
-        return of.mapInPandas(_plant(with_sig), ROW + ", sig binary" * with_sig)
+    def plant(of):
+        return of.mapInPandas(_plant, ROW)
 
     # Proposals: a forest in every small node, a star in every large one.
     large = written(plant(reps).groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "s1", "s2")).alias("p")).where(F.col("size") > LEAF), "large")
+    known = large.count()
+    large = F.broadcast(large) if known <= FEW else large
     small = _small(plant(reps).join(large.select("node"), "node", "left_anti"), percent, True)
     far = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
     sized = 100 * F.least("n", "p.n").cast("long") >= percent * F.greatest("n", "p.n").cast("long")
@@ -280,22 +292,24 @@ def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
         bad = failed.join(around, failed["a"] == around["id"]).select("component").distinct()
         again = around.join(bad, "component", "left_semi").select("id")
         more.append(_small(plant(_labelled(reps.join(again, "id", "left_semi"), comps)).join(large.select("node"), "node", "left_anti"), percent, False))
-    if large.limit(1).count():
+    if known:
         labelled = written(_labelled(reps, comps), "labelled")
-        members = _with_sizes(plant(labelled, True), large)
-        mixed = _sizes(members).where("lo <> hi")
-        members = written(members.drop("size").join(mixed.select("node"), "node", "left_semi"), "members")
+        sigs = labelled.select("id", "sig")
+        members = plant(labelled).join(large.select("node"), "node")
+        mixed = _sizes(members).where("lo <> hi").select("node")
+        left = written(members.join(mixed, "node", "left_semi"), "members")
         for depth in range(3, DEEPEST + 1):
-            child = members.mapInPandas(_branch, ROW + ", sig binary")
-            sizes = written(_sizes(child).where("size > 1 and lo <> hi"), "sizes")
-            more.append(written(_small(_with_sizes(child, sizes.where(F.col("size") <= LEAF)), percent, False), "pairs"))
-            left = written(_with_sizes(child, sizes.where(F.col("size") > LEAF)), "members")
-            drop(members)
-            members = left.drop("size")
-            if not left.limit(1).count():
+            pairs, split = _stray_or_split(left, percent)
+            more.append(pairs)
+            members = written(split.drop("size"), "members")
+            if not members.limit(1).count():
                 break
+            child = members.join(sigs, "id").mapInPandas(_branch, ROW)
+            sizes = written(_sizes(child).where("size > 1 and lo <> hi"), "sizes")
+            more.append(_small(_with_sizes(child, sizes.where(F.col("size") <= LEAF)), percent, False))
+            left = written(_with_sizes(child, sizes.where(F.col("size") > LEAF)).drop("size"), "members")
         else:
-            more.append(_tiles(left, percent))
+            more.append(_tiles(_with_sizes(left, _sizes(left)), percent))
     if more:
         pairs = more[0]
         for x in more[1:]:
