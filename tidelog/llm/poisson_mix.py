@@ -43,9 +43,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float) -> D
         named = [x for k, v in weights.items() for x in (F.lit("\0" if k is None else k), F.lit(float(v)))]
         weight = F.coalesce(F.create_map(*named)[F.col("source_key")], F.lit(0.0)) if named else F.lit(0.0)
     per = per.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
-    total = per.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    mean = F.col("weight") / F.col("all_weight") * F.col("all_chars") * F.lit(float(epochs)) / F.col("chars")
-    per = per.join(F.broadcast(total)).withColumn("rate", F.coalesce(F.when((F.col("all_weight") > 0) & (F.col("chars") > 0), mean), F.lit(0.0)))  # total is one row
+    per = written(per, "sources")
+    chars, weights = per.agg(F.sum("chars"), F.sum("weight")).first()
+    mean = F.col("weight") / F.lit(float(weights or 1)) * F.lit(chars or 0) * F.lit(float(epochs)) / F.col("chars")
+    per = per.withColumn("rate", F.when((F.col("weight") > 0) & (F.col("chars") > 0), mean).otherwise(0.0))
     per = per.withColumn("whole", F.greatest(F.floor(F.col("rate") - MAX_RATE), F.lit(0)).cast("long")).withColumn("rest", F.col("rate") - F.col("whole"))
     first = F.struct(F.exp(-F.col("rest")).alias("p"), F.exp(-F.col("rest")).alias("sum"), F.array(F.exp(-F.col("rest"))).alias("steps"))
     top = F.ceil(F.col("rest") + 10 * F.sqrt("rest") + 30).cast("int")
