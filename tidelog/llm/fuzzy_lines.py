@@ -1,7 +1,9 @@
 """Operator 5, line dedup: fuzzy lines by MinHash, one line kept of each component.
 
 A line is a set of character shingles of WIDTH. BANDS bands of ROWS MinHash values make candidates: two lines
-at similarity 0.8 share a band with probability 0.9996. Candidates are confirmed by exact Jaccard similarity
+at similarity 0.8 share a band with probability 0.9996. Sets of up to MANY shingles are permuted anew for each
+value; larger ones, of at least 0.64 x MANY, have one permutation cut into BINS bins. Two sets at similarity
+0.8 always have one of these signatures in common. Candidates are confirmed by exact Jaccard similarity
 of the full sets, and a distributed union-find over confirmed links keeps the first line, by (doc_id, line
 number), of each component.
 
@@ -32,18 +34,17 @@ from .common import components, drop, table, written
 from .minhash_join import FAR, FEW, LEAF, _labelled, _sizes, _small, _stray_or_split, _tiles, mix
 
 WIDTH, ROWS, BANDS, COORDS = 5, 5, 20, 128
+MANY, BINS = 320, 128
 BUCKET = 8 << 20
 NULL = repeat_tree.NULL
 U = np.uint64
 _RNG = np.random.default_rng(20240518)
 _A = _RNG.integers(1, 1 << 31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint32)
+_JUMPS = _RNG.integers(0, BINS, (64, BINS))  # where an empty bin looks, try by try
 
 
-def shingles(line: str) -> np.ndarray:
-    """Hashes of the shingles, with repeats."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    w = min(WIDTH, len(c))
+def _hashes(c: np.ndarray, w: int) -> np.ndarray:
     h = np.full(len(c) - w + 1, w, np.uint64)
     for k in range(w):
         h = h * U(0x9E3779B97F4A7C15) + c[k : len(c) - w + 1 + k]
@@ -51,24 +52,82 @@ def shingles(line: str) -> np.ndarray:
     return mix(h)
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    x = (h >> U(32)).astype(np.uint32)
-    low = np.full(COORDS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 1024):
-        np.minimum(low, (x[k : k + 1024, None] * _A + _B).min(0), out=low)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def shingles(line: str) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    c = _codes(line)
+    return np.unique(_hashes(c, min(WIDTH, len(c))))
+
+
+def all_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of every line, one after another, and how many each has; the lines are hashed together."""
+    h, at, own = _hashes(np.concatenate([_codes("\n".join(lines)), np.zeros(WIDTH, np.uint64)]), WIDTH), 0, []
+    for x in lines:
+        v = h[at : at + len(x) - WIDTH + 1] if len(x) >= WIDTH else shingles(x)
+        v.sort()
+        own.append(v)
+        at += len(x) + 1
+    size = np.array([len(v) for v in own])
+    every, line = np.concatenate(own), np.repeat(np.arange(len(lines)), size)
+    new = np.concatenate([[True], (every[1:] != every[:-1]) | (line[1:] != line[:-1])])
+    return every[new], np.bincount(line[new], minlength=len(lines))
+
+
+def minima(s: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    x = (s >> U(32)).astype(np.uint32)
+    low = np.full(coords, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 512):
+        m = x[k : k + 512, None] * _A[:coords]
+        m += _B[:coords]
+        np.minimum(low, m.min(0), out=low)
     return low
 
 
-def bands(low: np.ndarray) -> np.ndarray:
-    """A key for each band of each row of minima."""
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
+def bins(s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The least hash of each bin of the hashes' range, a row for each set; empty bins take another's, by fixed jumps.
+
+    s has the sets one after another, row the number of each one's set."""
+    b = row * BINS + (s >> U(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(s) else np.zeros(0, np.int64)
+    full, low = np.zeros(rows * BINS, bool), np.zeros(rows * BINS, np.uint32)
+    full[b[first]] = True
+    low[b[first]] = (s[first] >> U(25)).astype(np.uint32)
+    empty = np.flatnonzero(~full)
+    for jump in _JUMPS:
+        to = empty - empty % BINS + jump[empty % BINS]
+        hit = full[to]
+        low[empty[hit]] = low[to[hit]]
+        empty = empty[~hit]
+        if not len(empty):
+            break
+    return low.reshape(rows, BINS)
+
+
+def _banded(low: np.ndarray, n: int, kind: int) -> np.ndarray:
+    key = np.tile(np.arange(1, n + 1, dtype=np.uint64) + U(kind << 32), (len(low), 1))
     for k in range(ROWS):
-        key = mix(key * U(0xD6E8FEB86659FD93) + low[:, k : k + BANDS * ROWS : ROWS])
+        key = mix(key * U(0xD6E8FEB86659FD93) + low[:, k : k + n * ROWS : ROWS])
     return key
 
 
+def bands(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of sets that stand one after another, and the number of each one's set."""
+    ends = np.cumsum(size)
+    few, many = np.flatnonzero(size <= MANY), np.flatnonzero(size >= MANY * 16 // 25)
+    low = [minima(s[ends[i] - size[i] : ends[i]], BANDS * ROWS) for i in few.tolist()]
+    one = _banded(np.stack(low), BANDS, 1) if low else np.zeros((0, BANDS), np.uint64)
+    place = np.full(len(size), -1)
+    place[many] = np.arange(len(many))
+    row = np.repeat(place, size)
+    two = _banded(bins(s[row >= 0], row[row >= 0], len(many)), BINS // ROWS, 2)
+    return np.concatenate([one.ravel(), two.ravel()]), np.concatenate([np.repeat(few, BANDS), np.repeat(many, BINS // ROWS)])
+
+
 def similar(a: str, b: str, percent: int = 80) -> bool:
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
+    x, y = shingles(a), shingles(b)
     same = len(x) + len(y) - len(np.union1d(x, y))
     return 100 * same >= percent * (len(x) + len(y) - same)
 
@@ -103,8 +162,9 @@ def _ask(buckets: int):
                 lines = _read(r)[0]
                 if not lines:
                     continue
-                key = bands(np.stack([minima(shingles(x)) for x in lines])).ravel()
-                line = np.repeat(np.arange(len(lines), dtype=np.uint32), BANDS)
+                key, line = bands(*all_shingles(lines))
+                order = np.argsort(line, kind="stable")
+                key, line = key[order], line[order].astype(np.uint32)
                 bucket = (key % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 key, line, bucket = key[order], line[order], bucket[order]
@@ -147,13 +207,16 @@ def _describe(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             continue
         lines, first, _ = _read(r)
-        for i in asked.tolist():
-            h = shingles(lines[i])
+        sets, size = all_shingles([lines[i] for i in asked.tolist()])
+        key, line = bands(sets, size)
+        order = np.argsort(line, kind="stable")
+        keys = np.split(key[order].view(np.int64), np.searchsorted(line[order], np.arange(1, len(size))))
+        for i, h, own in zip(asked.tolist(), np.split(sets, np.cumsum(size)[:-1]), keys):
             low = minima(h)
             bits = np.packbits((mix(low.astype(np.uint64)) & U(1)).astype(np.uint8)).view("<i8")
             raw = lines[i].encode("utf-8", "surrogatepass")
             h1, h2 = (np.array([xxhash.xxh3_64_intdigest(raw, seed)], np.uint64).view(np.int64)[0] for seed in (1, 2))
-            rows.append((_line_id(r.block, i), h1, h2, len(np.unique(h)), bits[0], bits[1], bands(low[None])[0].view(np.int64), *first[i], r.block, i, lines[i]))
+            rows.append((_line_id(r.block, i), h1, h2, len(h), bits[0], bits[1], own, *first[i], r.block, i, lines[i]))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
 
