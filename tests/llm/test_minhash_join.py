@@ -54,9 +54,11 @@ def test_against_brute_force(spark, width):
     assert got(spark, rows, width) == brute(rows, width, 80)
 
 
-@pytest.mark.parametrize("stray,small", [(0, 0), (3, 1 << 17), (1024, 0)])
-def test_large_nodes_and_tiles(spark, monkeypatch, stray, small):
-    """With tiny leaves every path runs: stars, strays, branching, tiles; and both ways to label components."""
+@pytest.mark.parametrize("stray,small,group,hubs", [(0, 0, 2, 1), (3, 1 << 17, 5, 2), (1024, 1 << 17, 3, 2)])
+def test_large_nodes_and_tiles(spark, monkeypatch, stray, small, group, hubs):
+    """With tiny leaves every path runs: stars, strays, branching, tiles, hubs; and both ways to label components."""
+    monkeypatch.setattr(op, "GROUP", group)
+    monkeypatch.setattr(op, "HUBS", hubs)
     monkeypatch.setattr(op, "LEAF", 4)
     monkeypatch.setattr(op, "STRAY", stray)
     monkeypatch.setattr("tidelog.llm.common.SMALL", small)

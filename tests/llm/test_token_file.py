@@ -9,7 +9,7 @@ from tidelog.llm import token_file as op
 
 P = pytest.importorskip("public_tokenizers")
 PATH = str(P.path("byte_bpe_50k.json"))
-TEXTS = ["", " ", "a  b", "tab\t x \n y", "it's  \n\n  we'll 12 34ü ñ  ", " lead", "x y z  w", "<|endoftext|> in text", "trail ", "\x1c a \x85b", "long " * 3000, "日本 語 \U0001f600 ok"]
+TEXTS = ["", " ", "a  b", "tab\t x \n y", "it's  \n\n  we'll 12 34ü ñ  ", " lead", "x y z  w", "<|endoftext|> in text", "trail ", "a word, Word!! x%%% ü... dont't it's, &_- mañana; a1. x_y", "\x1c a \x85b", "long " * 3000, "日本 語 \U0001f600 ok"]
 
 
 def test_segments_equal_whole_texts():

@@ -130,3 +130,24 @@ def components(edges: DataFrame) -> DataFrame:
         drop(cur)
         cur = new
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select("b", "b")).distinct()
+
+
+def whole(key: str, f):
+    """f over batches that never split the rows of a key, for rows sorted by it."""
+
+    def run(batches):
+        def cut():
+            rest = None
+            for pdf in batches:
+                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+                if len(rest):
+                    at = rest[key].to_numpy()
+                    n = int((at != at[-1]).nonzero()[0].max(initial=-1)) + 1
+                    yield rest.iloc[:n]
+                    rest = rest.iloc[n:]
+            if rest is not None:
+                yield rest
+
+        yield from f(x for x in cut() if len(x))
+
+    return run

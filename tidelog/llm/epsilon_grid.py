@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, table, written
+from .common import components, table, whole, written
 
 LEADING, BLOCK, FAN, PART = 6, 1024, 4, 128
 MARGIN = 1e-4  # far over the rounding of a single-precision product of unit vectors
@@ -147,7 +147,7 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     levels, n = [blocks.select("at", "dim", "lo", "hi")], blocks.count()
     while n > FAN:
         up = levels[-1].withColumn("at", F.floor(F.col("at") / FAN).cast("long"))
-        levels.append(written(up.repartition("at").sortWithinPartitions("at").mapInPandas(_whole("at", _merge), "at long, dim int, lo array<double>, hi array<double>"), "intervals"))
+        levels.append(written(up.repartition("at").sortWithinPartitions("at").mapInPandas(whole("at", _merge), "at long, dim int, lo array<double>, hi array<double>"), "intervals"))
         n = -(-n // FAN)
     pairs = spark.range(n).select(F.col("id").alias("x"), F.explode(F.sequence("id", F.lit(n - 1))).alias("y")) if n else spark.createDataFrame([], "x long, y long")
     for k in reversed(range(len(levels))):
@@ -161,26 +161,6 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def _whole(key: str, f):
-    """f over batches that never split the rows of a key, for rows sorted by it."""
-
-    def run(batches):
-        def cut():
-            rest = None
-            for pdf in batches:
-                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-                if len(rest):
-                    n = int((rest[key] != rest[key].iloc[-1]).to_numpy().nonzero()[0].max(initial=-1)) + 1
-                    yield rest.iloc[:n]
-                    rest = rest.iloc[n:]
-            if rest is not None:
-                yield rest
-
-        yield from f(x for x in cut() if len(x))
-
-    return run
-
-
 def linked(a: np.ndarray, b: np.ndarray, least: float, eps: float) -> np.ndarray:
     """Which rows of a and b have a cosine of at least `least`; parts whose boxes are too far are skipped."""
     out = np.zeros((len(a), len(b)), bool)

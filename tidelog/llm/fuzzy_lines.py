@@ -9,9 +9,9 @@ number), of each component.
 
 Texts are packed into blocks, in each of which equal lines are one. A block sends its band keys, five bytes
 each, to buckets; a bucket answers with the keys that other lines share, and only those lines go on. Equal
-lines of all blocks are then one class, by a pre-aggregated hash. Classes are compared as in the chosen-path
-join, band by band: first a forest (or, in a band of over LEAF lines, a star), confirmed and labelled; then
-only pairs between labels, in strips or tiles where a band is large. No band is capped.
+lines of all blocks are then one class, by a pre-aggregated hash. Links between classes are proposed and
+confirmed as in the chosen-path join, with bands for nodes: forests by sketch, full sets once for each connected
+group, exact similarity in memory. No band is capped.
 
 Defined results: lines end at "\\n"; blank lines are always kept, and so are the lines of a document with a
 null id, which remove none elsewhere. A line shorter than WIDTH is one shingle. A null text has no lines and
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import repeat_tree
 from .common import components, drop, table, written
-from .minhash_join import FAR, FEW, LEAF, _labelled, _sizes, _small, _stray_or_split, _tiles, mix
+from .minhash_join import FEW, LEAF, _small, confirm, large_nodes, mix
 
 WIDTH, ROWS, BANDS, COORDS = 5, 5, 20, 128
 MANY, BINS = 320, 128
@@ -126,12 +126,6 @@ def bands(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one.ravel(), two.ravel()]), np.concatenate([np.repeat(few, BANDS), np.repeat(many, BINS // ROWS)])
 
 
-def similar(a: str, b: str, percent: int = 80) -> bool:
-    x, y = shingles(a), shingles(b)
-    same = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * same >= percent * (len(x) + len(y) - same)
-
-
 def _read(r):
     """The block's distinct lines, each one's first place, and for each document its lines' numbers (-1: always kept)."""
     b = repeat_tree._open(r)
@@ -220,14 +214,9 @@ def _describe(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    def judge(batches):
-        for pdf in batches:
-            yield pdf.loc[[similar(x, y, percent) for x, y in zip(pdf["t1"], pdf["t2"])], ["a", "b"]]
-
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t2")), "b")
-    both = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("t1")), "a")
-    return written(both.select("a", "b", "t1", "t2").mapInPandas(judge, "a long, b long"), "links")
+def _sets(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t).tobytes() for t in pdf["text"]]})
 
 
 def line_components(reps: DataFrame, percent: int) -> DataFrame:
@@ -235,34 +224,16 @@ def line_components(reps: DataFrame, percent: int) -> DataFrame:
     members = reps.select(F.explode("keys").alias("node"), "id", "n", "s1", "s2", F.col("id").alias("label"))
     crowded = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "s1", "s2")).alias("p")).where("size > 1")
     crowded = written(crowded, "bands")
-    members = written(members.join(crowded.select("node", "size"), "node"), "members")
+    found = _small(members.join(crowded.where(F.col("size") <= LEAF).select("node"), "node", "left_semi"), percent)
     large = crowded.where(F.col("size") > LEAF)
     known = large.count()
-    large = F.broadcast(large) if known <= FEW else large
-    small = members.where(F.col("size") <= LEAF)
-    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
-    sized = 100 * F.least("n", "p.n").cast("long") >= percent * F.greatest("n", "p.n").cast("long")
-    star = members.where(F.col("size") > LEAF).drop("size").join(large, "node").where((F.col("id") != F.col("p.id")) & (far <= FAR) & sized).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-    proposed = written(_small(small, percent, True).union(star).distinct(), "proposed")
-    links = _verify(proposed, reps, percent)
-    comps = components(links)
-    failed = proposed.join(links, ["a", "b"], "left_anti")
-    more = None
-    if failed.limit(1).count():
-        around = components(proposed)
-        bad = failed.join(around, failed["a"] == around["id"]).select("component").distinct()
-        again = around.join(bad, "component", "left_semi").select("id")
-        more = _small(_labelled(small.join(again, "id", "left_semi"), comps), percent, False)
     if known:
-        labelled = _labelled(members.where(F.col("size") > LEAF), comps)
-        mixed = _sizes(labelled).where("lo <> hi").select("node")
-        strips, rest = _stray_or_split(written(labelled.join(mixed, "node", "left_semi").drop("size"), "mixed"), percent)
-        tiles = strips.union(_tiles(rest, percent))
-        more = tiles if more is None else more.union(tiles)
-    if more is not None:
-        rest = written(more.distinct().join(proposed, ["a", "b"], "left_anti"), "rest")
-        comps = components(links.union(_verify(rest, reps, percent)))
-    return comps
+        for x in large_nodes(members, F.broadcast(large) if known <= FEW else large, percent, None):
+            found = found.union(x)
+    proposed = written(found.distinct(), "proposed")
+    groups = written(components(proposed), "labels")
+    sets = reps.join(groups.select("id"), "id", "left_semi").select("id", "text").mapInPandas(_sets, "id long, s binary")
+    return components(confirm(proposed, sets, groups, percent))
 
 
 OUT = "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"

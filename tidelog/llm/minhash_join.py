@@ -7,13 +7,14 @@ similarity 0.8 meets in a leaf of one tree with probability 0.94, of five trees
 
 What keeps it whole and linear under skew:
 - equal sets are one class, found by a pre-aggregated fingerprint, before any tree;
-- a leaf first proposes a forest of its likely links; these are confirmed on full sets and labelled by
-  connected components. Only then are further pairs looked at, and only between different labels, so a
-  group of copies never becomes all its pairs;
-- a node over LEAF links each member with one pivot first. If that gives all its members one label it is
-  finished. If up to STRAY members have other labels than the pivot, these meet every chunk of the others;
-  else the members branch on, to DEEPEST levels, and what is still large is compared tile by tile, whole.
-  No node, bucket or group is capped.
+- nodes propose links by sketch, and of those only a forest: a pair is left out if others connect it. A node
+  over LEAF proposes a star around one pivot; members that aren't near the pivot meet every chunk of the
+  node, if they are up to STRAY, or else all members branch on, to DEEPEST levels, and what is still large
+  then is compared tile by tile;
+- a connected group of proposals gets each member's full set once. Its links are confirmed there, in memory,
+  by exact similarity, and a link inside an already confirmed component is not looked for. A group over GROUP
+  is first confirmed against a few hubs, chunk by chunk; then members outside its largest component meet
+  every chunk, or, where they are many, tiles cover all pairs of chunks. No node, bucket or group is capped.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing (it is its own
 component); a text with fewer words than the width is one shingle. Rows that share a doc_id share a vertex:
@@ -26,13 +27,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop, table, written
+from .common import Forest, components, drop, table, whole, written
 
 TREES, BRANCHES, COORDS, LEAF, DEEPEST = 5, 2, 128, 256, 6
-STRAY = 1024
+STRAY, GROUP, HUBS = 1024, 512, 16
 FEW = 50_000  # large nodes that may be broadcast: 3 MB
 FAR = 34  # differing bits of 128 that a pair at similarity 0.8 exceeds with probability under 1e-6
 U = np.uint64
@@ -137,8 +138,8 @@ def _near(percent: int):
     return check
 
 
-def _compare(percent: int, forest: bool):
-    """Likely pairs (a, b) within each node, from rows sorted by node; with forest, none that the others connect."""
+def _compare(percent: int):
+    """A forest of the likely pairs (a, b) of different labels in each node, from rows sorted by node."""
     near = _near(percent)
 
     def run(batches):
@@ -150,23 +151,17 @@ def _compare(percent: int, forest: bool):
             rest, pdf, node = pdf.iloc[cut:], pdf.iloc[:cut], node[:cut]
             v = {c: pdf[c].to_numpy() for c in ("id", "n", "s1", "s2", "label")}
             v["s1"], v["s2"] = v["s1"].view("uint64"), v["s2"].view("uint64")
-            i, k, found = np.arange(len(pdf)), 0, []
+            i, k, found, f = np.arange(len(pdf)), 0, [], Forest()
             while len(i):
                 k += 1
                 i = i[i + k < len(pdf)]
                 i = i[node[i] == node[i + k]]
-                j = i + k
-                at = v["label"][i] != v["label"][j]
-                x, y = i[at], j[at]
-                ok, far = near(v["n"][x], v["n"][y], v["s1"][x], v["s2"][x], v["s1"][y], v["s2"][y])
-                found.append(np.stack([v["id"][x[ok]], v["id"][y[ok]], far[ok]], 1).astype(np.int64))
-            pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            pairs[:, :2].sort(1)
-            pairs = np.unique(pairs[:, [2, 0, 1]], axis=0)
-            if forest:
-                f = Forest()
-                pairs = pairs[[f.join(x, y) for _, x, y in pairs.tolist()]] if len(pairs) else pairs
-            yield pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 2]})
+                at = v["label"][i] != v["label"][i + k]
+                x, y = i[at], i[at] + k
+                ok, _ = near(v["n"][x], v["n"][y], v["s1"][x], v["s2"][x], v["s1"][y], v["s2"][y])
+                a, b = v["id"][x[ok]], v["id"][y[ok]]
+                found += [(p, q) for p, q in zip(a.tolist(), b.tolist()) if f.join(p, q)]
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -182,17 +177,16 @@ def _ended(batches):
         yield have, True
 
 
-def _small(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    return members.select(*[c.split()[0] for c in ROW.split(", ")]).repartition("node").sortWithinPartitions("node").mapInPandas(_compare(percent, forest), "a long, b long").distinct()
+def _small(members: DataFrame, percent: int) -> DataFrame:
+    return members.select(*[c.split()[0] for c in ROW.split(", ")]).repartition("node").sortWithinPartitions("node").mapInPandas(_compare(percent), "a long, b long").distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; sets are made anew from whole texts.
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the full sets of the documents with these ids, made anew from whole texts.
 
-    A fixed-size bitmap of the ids at issue (16 MB at most) spares other texts the work; the joins decide.
+    A fixed-size bitmap of the ids (16 MB at most) spares other texts the work; the join that follows decides.
     """
     spark = docs.sparkSession
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     bits = 1 << min(27, max(15, int(16 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     marks = np.zeros(bits // 8, np.uint8)
@@ -208,26 +202,81 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
             yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, width).tobytes() for t in pdf["text"]]})
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    sets = written(named.select("id", "text", slot.alias("slot")).mapInPandas(run, "id long, s binary"), "sets")
+    return named.select("id", "text", slot.alias("slot")).mapInPandas(run, "id long, s binary")
+
+
+def links_within(ids: list[int], labels: list[int], active: np.ndarray, sets: list[np.ndarray], percent: int):
+    """Links that connect what is similar across labels, if one end is active; fewer than there are members."""
+    f, sizes = Forest(), np.array([len(x) for x in sets])
+    for x in (*ids, *labels):
+        f.up.setdefault(x, x)
+    for x, y in zip(ids, labels):
+        f.join(x, y)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    left = len({f.find(x) for x in ids})
+    for k in np.argsort(~active, kind="stable").tolist():
+        if left == 1 or not active[k]:
+            return
+        lo, hi = np.searchsorted(every, sets[k]), np.searchsorted(every, sets[k], "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        same = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * same >= percent * (sizes + sizes[k] - same)).tolist():
+            if f.join(ids[k], ids[j]):
+                left -= 1
+                yield ids[k], ids[j]
+
+
+def _judge(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) within each grp of (grp, id, label, active, s)."""
 
-    def judge(batches):
+    def run(batches):
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["s"], pdf["s2"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(x) + len(y)
-                same = n - len(np.unique(np.concatenate([x, y])))
-                ok.append(same > 0 and 100 * same >= percent * (n - same))
-            yield pdf.loc[ok, ["a", "b"]]
+            found, grp = [], pdf["grp"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
+            ids, labels, active = pdf["id"].tolist(), pdf["label"].tolist(), pdf["active"].to_numpy(bool)
+            sets = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 1:
+                    found += links_within(ids[a:b], labels[a:b], active[a:b], sets[a:b], percent)
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    both = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "b", "s").join(sets.select(F.col("id").alias("id2"), F.col("s").alias("s2")), F.col("a") == F.col("id2"))
-    good = written(both.select("a", "b", "s", "s2").mapInPandas(judge, "a long, b long").distinct(), "links")
-    drop(ids, sets)
-    return good
+    rows = rows.select("grp", "id", "label", "active", "s").repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInPandas(whole("grp", run), "a long, b long")
 
 
-def _labelled(reps: DataFrame, comps: DataFrame) -> DataFrame:
-    return reps.drop("label").join(comps.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _in_chunks(rows: DataFrame, everywhere: Column) -> DataFrame:
+    """Each group's rows in chunks of about LEAF; rows that are `everywhere` go to every chunk, and are active."""
+    chunks = F.ceil(F.col("size") / LEAF).cast("long")
+    own, every = F.array(F.pmod(F.xxhash64("id"), chunks)), F.sequence(F.lit(0).cast("long"), chunks - 1)
+    rows = rows.withColumn("active", everywhere).withColumn("chunk", F.explode(F.when(everywhere, every).otherwise(own)))
+    return rows.withColumn("grp", F.xxhash64("grp", "chunk"))
+
+
+def confirm(proposed: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that connect exactly what the confirmed pairs among each group of proposals connect."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rows = groups.join(sizes, "component").join(sets, "id").select(F.col("component").alias("grp"), "id", "size", F.col("id").alias("label"), "s")
+    rows = written(rows, "groups")
+    links = _judge(rows.where(F.col("size") <= GROUP).withColumn("active", F.lit(True)), percent)
+    big = rows.where(F.col("size") > GROUP)
+    if big.limit(1).count():
+        hub = F.pmod(F.xxhash64("id", "grp"), F.ceil(F.col("size") / HUBS).cast("long")) == 0
+        first = written(_judge(_in_chunks(big, hub), percent), "links")
+        big = _labelled(big, components(first))
+        counts = big.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("label", "n").alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        big = written(big.join(counts.where("most < all"), "grp"), "groups")
+        strays = F.col("all") - F.col("most")
+        second = _judge(_in_chunks(big.where(strays <= STRAY), F.col("label") != F.col("lead")), percent)
+        third = _judge(_in_tiles(big.where(strays > STRAY).withColumnRenamed("grp", "node")).withColumnRenamed("node", "grp").withColumn("active", F.lit(True)), percent)
+        links = links.union(first).union(second).union(third)
+    return written(links, "links")
+
+
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.drop("label").join(comps.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -239,27 +288,47 @@ def _with_sizes(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return members.join(sizes.select("node", "size"), "node")
 
 
-def _tiles(large: DataFrame, percent: int) -> DataFrame:
+def _in_tiles(large: DataFrame) -> DataFrame:
     """Nodes that never split: every two chunks of a node meet in a tile."""
     chunks = F.ceil(F.col("size") / (LEAF // 2)).cast("long")
     own = F.pmod(F.xxhash64("id"), chunks)
     tile = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("node", tile)
-    return _small(spread, percent, False)
+    return large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("node", tile)
 
 
 def _stray_or_split(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of large nodes with several labels: the pairs of those with few strays, and the members of the rest."""
-    lead = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("label", "id").alias("lead"))
-    members = members.join(lead, "node").withColumn("stray", (F.col("label") != F.col("lead")).cast("int"))
-    strays = members.where("stray = 1").groupBy("node").agg(F.count(F.lit(1)).alias("strays"))
-    members = members.join(strays, "node")
-    few = members.where(F.col("strays") <= STRAY)
-    chunks = F.ceil(F.col("size") / LEAF).cast("long")
-    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
-    own = F.array(F.pmod(F.xxhash64("id"), chunks))
-    strips = few.withColumn("chunk", F.explode(F.when(F.col("stray") == 1, every).otherwise(own))).withColumn("node", F.xxhash64("node", "chunk"))
-    return _small(strips, percent, False), members.where(F.col("strays") > STRAY).drop("lead", "stray", "strays")
+    """Of large nodes: what members that aren't near the pivot propose, where they are few; the members of the rest.
+
+    The label of a member is the pivot's id, or its own if it isn't near."""
+    lead = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("label") != F.col("id"), F.col("label"))).alias("lead"), F.count_if(F.col("label") == F.col("id")).alias("strays"))
+    members = members.join(lead, "node").withColumnRenamed("node", "grp")
+    stray = F.coalesce(F.col("label") != F.col("lead"), F.lit(True))
+    few = _in_chunks(members.where(F.col("strays") <= STRAY), stray).withColumnRenamed("grp", "node")
+    return _small(few, percent), members.where(F.col("strays") > STRAY).withColumnRenamed("grp", "node").drop("lead", "strays")
+
+
+def large_nodes(members: DataFrame, large: DataFrame, percent: int, sigs: DataFrame | None) -> list[DataFrame]:
+    """What nodes over LEAF propose. large: node, p (the pivot: id, n, s1, s2). Without sigs nodes don't branch."""
+    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
+    sized = 100 * F.least("n", "p.n").cast("long") >= percent * F.greatest("n", "p.n").cast("long")
+    near = (far <= FAR) & sized
+    members = members.join(large.select("node", "p"), "node").withColumn("label", F.when(near, F.col("p.id")).otherwise(F.col("id")))
+    members = written(members.select(*[c.split()[0] for c in ROW.split(", ")]), "members")
+    found = [members.where("label <> id").select(F.col("label").alias("a"), F.col("id").alias("b")).distinct()]
+    mixed = _sizes(members).where("lo <> hi").select("node")
+    left = written(members.join(mixed, "node", "left_semi"), "members")
+    for _ in range(3, DEEPEST + 1) if sigs is not None else ():
+        pairs, split = _stray_or_split(left, percent)
+        found.append(pairs)
+        members = written(split.drop("size"), "members")
+        if not members.limit(1).count():
+            return found
+        child = members.join(sigs, "id").mapInPandas(_branch, ROW)
+        sizes = written(_sizes(child).where("size > 1 and lo <> hi"), "sizes")
+        found.append(_small(_with_sizes(child, sizes.where(F.col("size") <= LEAF)), percent))
+        left = written(_with_sizes(child, sizes.where(F.col("size") > LEAF)).drop("size"), "members")
+    pairs, split = _stray_or_split(left, percent)
+    return [*found, pairs, _small(_in_tiles(split), percent)]
 
 
 def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -268,57 +337,21 @@ def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     described = written(docs.mapInPandas(_describe(width), "doc_id long, n int, f1 long, f2 long, sig binary, s1 long, s2 long"), "described")
     reps = described.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     reps = written(reps.select("id", "n", "s1", "s2", F.col("id").alias("label"), "sig"), "classes")
-
-    def plant(of):
-        return of.mapInPandas(_plant, ROW)
-
-    # Proposals: a forest in every small node, a star in every large one.
-    large = written(plant(reps).groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "s1", "s2")).alias("p")).where(F.col("size") > LEAF), "large")
+    members = reps.mapInPandas(_plant, ROW)
+    large = written(members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "s1", "s2")).alias("p")).where(F.col("size") > LEAF), "large")
     known = large.count()
     large = F.broadcast(large) if known <= FEW else large
-    small = _small(plant(reps).join(large.select("node"), "node", "left_anti"), percent, True)
-    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("p.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p.s2")))
-    sized = 100 * F.least("n", "p.n").cast("long") >= percent * F.greatest("n", "p.n").cast("long")
-    star = plant(reps).join(large, "node").where((F.col("id") != F.col("p.id")) & (far <= FAR) & sized).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-    proposed = written(small.union(star).distinct(), "proposed")
-    links = verify(docs, proposed, width, percent)
-    comps = components(links)
-
-    # Further pairs, between different labels: around proposals that failed, and in large nodes.
-    failed = proposed.join(links, ["a", "b"], "left_anti")
-    more = []
-    if failed.limit(1).count():
-        around = components(proposed)
-        bad = failed.join(around, failed["a"] == around["id"]).select("component").distinct()
-        again = around.join(bad, "component", "left_semi").select("id")
-        more.append(_small(plant(_labelled(reps.join(again, "id", "left_semi"), comps)).join(large.select("node"), "node", "left_anti"), percent, False))
+    found = [_small(members.join(large.select("node"), "node", "left_anti"), percent)]
     if known:
-        labelled = written(_labelled(reps, comps), "labelled")
-        sigs = labelled.select("id", "sig")
-        members = plant(labelled).join(large.select("node"), "node")
-        mixed = _sizes(members).where("lo <> hi").select("node")
-        left = written(members.join(mixed, "node", "left_semi"), "members")
-        for depth in range(3, DEEPEST + 1):
-            pairs, split = _stray_or_split(left, percent)
-            more.append(pairs)
-            members = written(split.drop("size"), "members")
-            if not members.limit(1).count():
-                break
-            child = members.join(sigs, "id").mapInPandas(_branch, ROW)
-            sizes = written(_sizes(child).where("size > 1 and lo <> hi"), "sizes")
-            more.append(_small(_with_sizes(child, sizes.where(F.col("size") <= LEAF)), percent, False))
-            left = written(_with_sizes(child, sizes.where(F.col("size") > LEAF)).drop("size"), "members")
-        else:
-            more.append(_tiles(_with_sizes(left, _sizes(left)), percent))
-    if more:
-        pairs = more[0]
-        for x in more[1:]:
-            pairs = pairs.union(x)
-        rest = written(pairs.distinct().join(proposed, ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            links = links.union(verify(docs, rest, width, percent))
-            comps = components(links)
-    return described, comps
+        found += large_nodes(members, large, percent, reps.select("id", "sig"))
+    proposed = found[0]
+    for x in found[1:]:
+        proposed = proposed.union(x)
+    proposed = written(proposed.distinct(), "proposed")
+    groups = written(components(proposed), "labels")
+    links = confirm(proposed, sets_of(docs, groups.select("id"), width), groups, percent)
+    drop(proposed, reps)
+    return described, components(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
