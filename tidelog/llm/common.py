@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Delete tables made by written() that no returned DataFrame reads any more."""
+    """Delete tables made by written() that no returned DataFrame reads any more.
+
+    The collections let Spark's cleaner delete the shuffle files of jobs that are over; it acts on garbage only."""
     for df in frames:
         spark, path = df.sparkSession, getattr(df, "_tidelog_path", None)
         if path:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

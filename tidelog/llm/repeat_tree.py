@@ -267,21 +267,40 @@ def _order(a: np.ndarray, size: np.ndarray, *before) -> np.ndarray:
 
 
 def maximal_repeats(h: np.ndarray, doc: np.ndarray, back: np.ndarray, left: np.ndarray, ahead: np.ndarray, right: np.ndarray):
-    """(members, least place, greatest place) of each maximal repeat of LENGTH or more that two documents share.
+    """The maximal repeats of LENGTH or more that two documents share, with all occurrences:
+    members (one repeat's after another's), and for each repeat its size, least place and greatest place.
 
     Rows are suffixes at picked grams: back has the bytes before, nearest first, ahead those from the gram on.
-    A string with the gram at place o is shared by all members for every o between the two places.
+    A string with the gram at place o is shared by all members for every o between the two places. Trees of a
+    single node, which two suffixes or suffixes in equal surroundings make, are read off together.
     """
     order = _order(ahead, right, h)
     h, doc, back, left, ahead, right = (v[order] for v in (h, doc, back, left, ahead, right))
     lcp = _common(ahead, right)
     lcp[(h[1:] != h[:-1]) | (lcp < GRAM)] = 0
-    cut = np.flatnonzero(lcp == 0) + 1
-    edges = np.concatenate([[0], cut, [len(h)]])
-    both = (edges[:-1], edges[1:])
-    several = (np.maximum.reduceat(doc, edges[:-1]) != np.minimum.reduceat(doc, edges[:-1])) if len(h) else np.zeros(0, bool)
-    for lo, hi in zip(both[0][several].tolist(), both[1][several].tolist()):
-        for depth, above, a, z in intervals(lcp[lo : hi - 1].tolist()):
+    edges = np.concatenate([[0], np.flatnonzero(lcp == 0) + 1])
+    sizes = np.diff(np.append(edges, len(h)))
+    several = np.maximum.reduceat(doc, edges) != np.minimum.reduceat(doc, edges)
+    edges, sizes = edges[several], sizes[several]
+    if not len(edges):
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
+    inner = np.arange(sizes.sum() - len(sizes)) + np.repeat(edges - np.concatenate([[0], np.cumsum(sizes - 1)[:-1]]), sizes - 1)
+    lcs = np.zeros(len(lcp), np.int64)
+    same = back[inner] == back[inner + 1]
+    lcs[inner] = np.minimum(np.where(same.all(1), LEFT, same.argmin(1)), np.minimum(left[inner], left[inner + 1]))
+    first = np.concatenate([[0], np.cumsum(sizes - 1)[:-1]])
+    flat = np.minimum.reduceat(lcp[inner], first) == np.maximum.reduceat(lcp[inner], first)
+    alike = (lcs[inner] == left[inner]) & (lcs[inner] == left[inner + 1])
+    plain = flat & ((sizes == 2) | np.minimum.reduceat(alike, first))
+    out, n, lows, highs = [], [], [], []
+    low, high = np.maximum(0, LENGTH - lcp[edges]), np.minimum(LEFT, lcs[edges])
+    good = np.flatnonzero(plain & (low <= high))
+    out.append(np.arange(sizes[good].sum()) + np.repeat(edges[good] - np.concatenate([[0], np.cumsum(sizes[good])[:-1]]), sizes[good]) if len(good) else np.zeros(0, np.int64))
+    n += sizes[good].tolist()
+    lows += low[good].tolist()
+    highs += high[good].tolist()
+    for lo, size in zip(edges[~plain].tolist(), sizes[~plain].tolist()):
+        for depth, above, a, z in intervals(lcp[lo : lo + size - 1].tolist()):
             least, most = max(0, LENGTH - depth), min(LEFT, LENGTH - 1 - max(above, GRAM - 1))
             if depth < GRAM or least > most:
                 continue
@@ -290,18 +309,19 @@ def maximal_repeats(h: np.ndarray, doc: np.ndarray, back: np.ndarray, left: np.n
             if (d == d[0]).all():
                 continue
             if len(own) == 2:
-                x, y = own
-                n = int(_common(back[own], left[own])[0])
-                if n >= least:
-                    yield order[own], least, min(n, most)
-                continue
-            own = own[_order(back[own], left[own])]
-            common = _common(back[own], left[own])
+                common = lcs[own[:1]]
+            else:
+                own = own[_order(back[own], left[own])]
+                common = _common(back[own], left[own])
             for extent, over, b, y in intervals(common.tolist()):
-                first, last = max(least, over + 1), min(extent, most)
+                x, last = max(least, over + 1), min(extent, most)
                 group = own[b : y + 1]
-                if first <= last and (doc[group] != doc[group[0]]).any():
-                    yield order[group], first, last
+                if x <= last and (doc[group] != doc[group[0]]).any():
+                    out.append(group)
+                    n.append(len(group))
+                    lows.append(x)
+                    highs.append(last)
+    return order[np.concatenate(out)], *(np.array(v, np.int64) for v in (n, lows, highs))
 
 
 def _buckets(batches):
@@ -312,16 +332,14 @@ def _buckets(batches):
         parsed = [_parse(n, p) for _, _, n, p in rows]
         h, doc, at, left, right, text = (np.concatenate(v) for v in zip(*parsed))
         block = np.repeat([r[1] for r in rows], [r[2] for r in rows])
-        found: list[tuple[np.ndarray, int, int]] = []
         back, ahead = text[:, :LEFT][:, ::-1], text[:, LEFT:]
-        for own, first, last in maximal_repeats(h, doc, np.ascontiguousarray(back), left, np.ascontiguousarray(ahead), right):
-            gone = own[doc[own] > doc[own].min()]
-            found.append((gone, first, last))
-        if not found:
+        own, n, first, last = maximal_repeats(h, doc, np.ascontiguousarray(back), left, np.ascontiguousarray(ahead), right)
+        if not len(own):
             return pd.DataFrame({"block": np.zeros(0, np.int64), "runs": []})
-        own = np.concatenate([f[0] for f in found])
-        n = [len(f[0]) for f in found]
-        lo, hi = at[own].astype(np.int64) - np.repeat([f[2] for f in found], n), at[own].astype(np.int64) - np.repeat([f[1] for f in found], n) + LENGTH
+        least = np.minimum.reduceat(doc[own], np.concatenate([[0], np.cumsum(n)[:-1]]))
+        gone = doc[own] > np.repeat(least, n)
+        own, first, last = own[gone], np.repeat(first, n)[gone], np.repeat(last, n)[gone]
+        lo, hi = at[own].astype(np.int64) - last, at[own].astype(np.int64) - first + LENGTH
         order = np.argsort(block[own], kind="stable")
         b, runs = block[own][order], np.stack([lo, hi], 1)[order].astype("<u4")
         edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -381,12 +399,13 @@ def deduplicate(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     buckets = max(16, int(total * 2 / (PLACES + 1) * 8) // BUCKET + 1)
     answers = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, h binary, n binary").groupBy("bucket").applyInPandas(_answer, "block long, bucket int, again binary, hot binary"), "answers")
     sent = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_send(buckets), SENT), "suffixes")
+    drop(answers)
     cold = sent.where("bucket >= 0").select("bucket", "block", "n", "payload").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_buckets, "block long, runs binary")
     hot = sent.where("bucket < 0")
     least = hot.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").drop("most")
     warm = hot.select("w1", "w2", "block", "places", "docs").join(least, ["w1", "w2"]).mapInPandas(_hot_runs, "block long, runs binary")
     runs = written(cold.union(warm), "runs")
-    drop(answers, sent)
+    drop(sent)
     out = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInPandas(_cut(with_bytes), OUT)
     return out if with_bytes else out.drop("kept")
 
