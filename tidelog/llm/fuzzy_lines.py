@@ -8,8 +8,10 @@ of the full sets, and a distributed union-find over confirmed links keeps the fi
 number), of each component.
 
 Texts are packed into blocks, in each of which equal lines are one. A block sends its band keys, five bytes
-each, to buckets; a bucket answers with the keys that other lines share, and only those lines go on. Equal
-lines of all blocks are then one class, by a pre-aggregated hash. Links between classes are proposed and
+each with a two-byte mark of the line, and one key of each whole line to buckets. A bucket answers with the
+lines that share a band key with another mark, and with those that other blocks have too; only these go on, the
+latter without signatures. (Two different lines have equal marks with probability 2e-5, and then are missed.)
+Equal lines of all blocks are then one class, by a pre-aggregated hash. Links between classes are proposed and
 confirmed as in the chosen-path join, with bands for nodes: forests by sketch, full sets once for each connected
 group, exact similarity in memory. No band is capped.
 
@@ -149,6 +151,10 @@ def _read(r):
     return list(seen), first, docs
 
 
+def _exact(lines: list[str], seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in lines], np.uint64)
+
+
 def _ask(buckets: int):
     def run(batches):
         for pdf in batches:
@@ -157,34 +163,43 @@ def _ask(buckets: int):
                 if not lines:
                     continue
                 key, line = bands(*all_shingles(lines))
-                order = np.argsort(line, kind="stable")
-                key, line = key[order], line[order].astype(np.uint32)
+                whole = _exact(lines, 1)
+                mark = (whole % U(65535) + U(1)).astype("<u2")  # 0 marks the keys of whole lines
+                key = np.concatenate([key, mix(whole)])
+                mark = np.concatenate([mark[line], np.zeros(len(lines), "<u2")])
+                line = np.concatenate([line, np.arange(len(lines))]).astype(np.uint32)
                 bucket = (key % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                key, line, bucket = key[order], line[order], bucket[order]
+                order = np.lexsort((line, bucket))
+                key, line, bucket, mark = key[order], line[order], bucket[order], mark[order]
                 edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                rows = [(int(bucket[i]), r.block, np.ascontiguousarray(key[i:j].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes(), repeat_tree.zstandard.compress(np.diff(line[i:j], prepend=np.uint32(0)).astype("<u4").tobytes())) for i, j in zip(edges, np.append(edges[1:], len(key)))]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "keys", "lines"])
+                pack = repeat_tree.zstandard.compress
+                rows = [(int(bucket[i]), r.block, np.ascontiguousarray(key[i:j].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes(), pack(np.diff(line[i:j], prepend=np.uint32(0)).astype("<u4").tobytes()), mark[i:j].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(key)))]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "keys", "lines", "marks"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lines of each block that share a key with another line."""
+    """The lines of each block that share a band key with a different line, and those that other blocks have."""
     keys = []
     for k in pdf["keys"]:
         wide = np.zeros((len(k) // 5, 8), np.uint8)
         wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
         keys.append(wide.view("<u8").ravel())
+    marks = np.concatenate([np.frombuffer(m, "<u2") for m in pdf["marks"]])
     _, where, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    again, rows, at = n[where] > 1, [], 0
+    low, high = np.full(len(n), 65535, np.uint16), np.zeros(len(n), np.uint16)
+    np.minimum.at(low, where, marks)
+    np.maximum.at(high, where, marks)
+    near, same = (low != high)[where] & (marks > 0), (n[where] > 1) & (marks == 0)
+    rows, at = [], 0
     for k, (block, lines) in enumerate(zip(pdf["block"], pdf["lines"])):
-        own = again[at : at + len(keys[k])]
-        at += len(own)
-        if own.any():
+        own = slice(at, at + len(keys[k]))
+        at = own.stop
+        if near[own].any() or same[own].any():
             lines = np.cumsum(np.frombuffer(repeat_tree.zstandard.decompress(lines), "<u4"), dtype=np.uint32)
-            rows.append((block, np.unique(lines[own]).astype("<u4").tobytes()))
-    return pd.DataFrame(rows, columns=["block", "lines"])
+            rows.append((block, *(np.unique(lines[x[own]]).astype("<u4").tobytes() for x in (near, same))))
+    return pd.DataFrame(rows, columns=["block", "near", "same"])
 
 
 LINE = "id long, h1 long, h2 long, n int, s1 long, s2 long, keys array<long>, doc long, line int, block long, at int, text string"
@@ -195,22 +210,25 @@ def _line_id(block: int, at: int) -> int:
 
 
 def _describe(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for r in blocks.itertuples(index=False):
-        asked = np.unique(np.concatenate([np.frombuffer(v, "<u4") for v in answers["lines"]])) if len(answers) else []
-        if not len(asked):
-            continue
+    """The lines that go on; those that may have near ones with n, s1, s2, keys and text."""
+    rows, union = [], lambda c: np.unique(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(v, "<u4") for v in answers[c])])).tolist()
+    near, same = union("near"), set(union("same"))
+    for r in blocks.itertuples(index=False) if near or same else ():
         lines, first, _ = _read(r)
-        sets, size = all_shingles([lines[i] for i in asked.tolist()])
-        key, line = bands(sets, size)
-        order = np.argsort(line, kind="stable")
-        keys = np.split(key[order].view(np.int64), np.searchsorted(line[order], np.arange(1, len(size))))
-        for i, h, own in zip(asked.tolist(), np.split(sets, np.cumsum(size)[:-1]), keys):
-            low = minima(h)
-            bits = np.packbits((mix(low.astype(np.uint64)) & U(1)).astype(np.uint8)).view("<i8")
-            raw = lines[i].encode("utf-8", "surrogatepass")
-            h1, h2 = (np.array([xxhash.xxh3_64_intdigest(raw, seed)], np.uint64).view(np.int64)[0] for seed in (1, 2))
-            rows.append((_line_id(r.block, i), h1, h2, len(h), bits[0], bits[1], own, *first[i], r.block, i, lines[i]))
+        own = {}
+        if near:
+            sets, size = all_shingles([lines[i] for i in near])
+            keys, line = bands(sets, size)
+            order = np.argsort(line, kind="stable")
+            keys = np.split(keys[order].view(np.int64), np.searchsorted(line[order], np.arange(1, len(size))))
+            for i, s, k in zip(near, np.split(sets, np.cumsum(size)[:-1]), keys):
+                bits = np.packbits((mix(minima(s).astype(np.uint64)) & U(1)).astype(np.uint8)).view("<i8")
+                own[i] = len(s), bits[0], bits[1], k, lines[i]
+        every = sorted(same.union(near))
+        some = [lines[i] for i in every]
+        for i, h1, h2 in zip(every, _exact(some, 2).view(np.int64), _exact(some, 3).view(np.int64)):
+            n, s1, s2, k, text = own.get(i, (0, 0, 0, [], None))
+            rows.append((_line_id(r.block, i), h1, h2, n, s1, s2, k, *first[i], r.block, i, text))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
 
@@ -277,17 +295,18 @@ def deduplicate(docs: DataFrame, percent: int = 80, with_text: bool = False) ->
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = written(slim.mapInPandas(_pack, "block long, bytes long, ids binary, sizes binary, data binary, nulls binary"), "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(16, int(total / 200 * BANDS * 8) // BUCKET + 1)
-    shared = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, keys binary, lines binary").groupBy("bucket").applyInPandas(_answer, "block long, lines binary"), "shared")
+    buckets = max(16, int(total / 200 * BANDS * 9) // BUCKET + 1)
+    shared = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, keys binary, lines binary, marks binary").groupBy("bucket").applyInPandas(_answer, "block long, near binary, same binary"), "shared")
     lines = written(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_describe, LINE), "lines")
-    reps = written(lines.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "s1", "s2", "keys", "text"), "id").alias("r")).select("r.*"), "classes")
+    drop(shared)
+    reps = written(lines.where("text is not null").groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "s1", "s2", "keys", "text"), "id").alias("r")).select("r.*"), "classes")
     comps = line_components(reps, percent)
     of = lines.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min(F.struct("doc", "line")).alias("place"))
     of = of.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = of.groupBy("component").agg(F.min("place").alias("best"))
     keep = lines.select("h1", "h2", "block", "at").join(of.select("h1", "h2", "component"), ["h1", "h2"]).join(best, "component")
     keep = written(keep.select("block", "at", F.col("best.doc").alias("doc"), F.col("best.line").alias("line")), "keep")
-    drop(shared, reps)
+    drop(reps)
     out = blocks.groupBy("block").cogroup(keep.groupBy("block")).applyInPandas(_cut(with_text), OUT)
     return out if with_text else out.drop("text")
 
