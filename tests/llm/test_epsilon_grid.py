@@ -36,12 +36,10 @@ def data(n=400, dim=12):
 
 
 @pytest.mark.parametrize("block,part", [(1024, 128), (16, 4)])
-def test_against_brute_force(spark, monkeypatch, block, part):
-    monkeypatch.setattr(op, "BLOCK", block)
-    monkeypatch.setattr(op, "PART", part)
+def test_against_brute_force(spark, block, part):
     rows = data()
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, component_id int").repartition(3)
-    found = op.near_duplicates(df).collect()
+    found = op.near_duplicates(df, block=block, part=part).collect()
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=str) == brute(rows, 0.9)
 
@@ -51,7 +49,6 @@ def test_empty(spark):
 
 
 def test_far_blocks_are_skipped(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 16)
     r = np.random.default_rng(0)
     corners = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [-1, 0, 0], [0, -1, 0], [0, 0, -1]], float)
     x = np.repeat(corners, 64, 0) + r.normal(size=(384, 3)) * 0.02
@@ -59,7 +56,7 @@ def test_far_blocks_are_skipped(spark, monkeypatch):
     real = op.written
     monkeypatch.setattr(op, "written", lambda df, name: seen.append((name, out := real(df, name))) or out)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = op.near_duplicates(df).collect()
+    found = op.near_duplicates(df, block=16).collect()
     assert {r["component_id"] for r in found} == {64 * k for k in range(6)} and all(r["n_links"] == 63 for r in found)
     pairs = [d for n, d in seen if n == "block_pairs"][-1].count()
     assert pairs < 24 * 25 // 2 / 2

@@ -53,14 +53,13 @@ def corpus(seed):
     return rows + [(900, None), (901, ""), (902, " \n\n"), (None, rows[0][1]), (903, wide + "\n" + base[0] + "\n" + base[0]), (904, wide + "!"), (7, rows[1][1]), (rows[2][0], rows[2][1])]
 
 
-@pytest.mark.parametrize("leaf,block", [(256, 4 << 20), (3, 2000)])
+@pytest.mark.parametrize("leaf,block", [(256, 4 << 20), (3, 3000)])
 def test_against_brute_force(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(op, "LEAF", leaf)
     monkeypatch.setattr("tidelog.llm.minhash_join.LEAF", leaf)
-    monkeypatch.setattr("tidelog.llm.repeat_tree.BLOCK", block)
     rows = corpus(leaf)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, line string").repartition(3)
-    assert sorted(map(tuple, op.deduplicate(df, with_text=True).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, op.deduplicate(df, with_text=True, block=block).collect()), key=str) == brute(rows)
 
 
 def test_empty(spark):

@@ -45,12 +45,10 @@ def corpus(seed, n=150):
 
 
 @pytest.mark.parametrize("seed,hot,block", [(1, 4096, 4 << 20), (2, 3, 4000), (3, 20, 20000), (4, 10**9, 3000)])
-def test_against_brute_force(spark, monkeypatch, seed, hot, block):
-    monkeypatch.setattr(op, "HOT", hot)
-    monkeypatch.setattr(op, "BLOCK", block)
+def test_against_brute_force(spark, seed, hot, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n_removed int").repartition(3)
-    assert sorted(map(tuple, op.deduplicate(df).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, op.deduplicate(df, hot=hot, block=block).collect()), key=str) == brute(rows)
 
 
 def test_intervals_are_the_maximal_groups():

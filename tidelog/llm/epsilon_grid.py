@@ -91,26 +91,29 @@ def _cells(turn: dict[int, np.ndarray], eps: float):
     return run
 
 
-def _pack(batches):
-    part, seq, have = TaskContext.get().partitionId(), 0, []
-
-    def block(rows):
-        nonlocal seq
-        dim = int(rows["dim"].iloc[0])
-        x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), dim)
-        seq += 1
-        own = [rows[c].to_numpy("int64").tobytes() for c in ("key", "id", "copies")]
-        return pd.DataFrame({"part": [part], "seq": [seq - 1], "dim": [dim], "lo": [x.min(0)], "hi": [x.max(0)], "keys": [own[0]], "ids": [own[1]], "copies": [own[2]], "units": [x.tobytes()]})
-
-    rest = None
-    for pdf in batches:
-        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        while len(rest) > BLOCK or (len(rest) and rest["dim"].iloc[0] != rest["dim"].iloc[-1]):
-            n = min(BLOCK, int((rest["dim"] == rest["dim"].iloc[0]).sum()))
-            yield block(rest.iloc[:n])
-            rest = rest.iloc[n:]
-    if rest is not None and len(rest):
-        yield block(rest)
+def _pack(most: int):
+    def run(batches):
+        part, seq, have = TaskContext.get().partitionId(), 0, []
+
+        def block(rows):
+            nonlocal seq
+            dim = int(rows["dim"].iloc[0])
+            x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), dim)
+            seq += 1
+            own = [rows[c].to_numpy("int64").tobytes() for c in ("key", "id", "copies")]
+            return pd.DataFrame({"part": [part], "seq": [seq - 1], "dim": [dim], "lo": [x.min(0)], "hi": [x.max(0)], "keys": [own[0]], "ids": [own[1]], "copies": [own[2]], "units": [x.tobytes()]})
+
+        rest = None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            while len(rest) > most or (len(rest) and rest["dim"].iloc[0] != rest["dim"].iloc[-1]):
+                n = min(most, int((rest["dim"] == rest["dim"].iloc[0]).sum()))
+                yield block(rest.iloc[:n])
+                rest = rest.iloc[n:]
+        if rest is not None and len(rest):
+            yield block(rest)
+
+    return run
 
 
 def apart(a_lo, a_hi, b_lo, b_hi) -> float:
@@ -152,8 +155,8 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     pairs = spark.range(n).select(F.col("id").alias("x"), F.explode(F.sequence("id", F.lit(n - 1))).alias("y")) if n else spark.createDataFrame([], "x long, y long")
     for k in reversed(range(len(levels))):
         if k < len(levels) - 1:
-            part = F.explode(F.sequence(F.lit(0), F.lit(FAN - 1)))
-            pairs = pairs.select("y", (F.col("x") * FAN + part).alias("x")).select("x", (F.col("y") * FAN + part).alias("y")).where("x <= y")
+            parts = {c: F.sequence(F.col(c) * FAN, F.col(c) * FAN + FAN - 1) for c in ("x", "y")}
+            pairs = pairs.select("y", F.explode(parts["x"]).alias("x")).select("x", F.explode(parts["y"]).alias("y")).where("x <= y")
         one, two = (levels[k].select(F.col("at").alias(c), F.col("dim").alias(f"d{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i, c in ((1, "x"), (2, "y")))
         both = pairs.join(one, "x").join(two, "y")
         mixed = (F.col("d1") == 0) | (F.col("d2") == 0)
@@ -161,21 +164,21 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float, eps: float) -> np.ndarray:
+def linked(a: np.ndarray, b: np.ndarray, least: float, eps: float, part: int = PART) -> np.ndarray:
     """Which rows of a and b have a cosine of at least `least`; parts whose boxes are too far are skipped."""
     out = np.zeros((len(a), len(b)), bool)
-    box = lambda x: [(k, x[k : k + PART].min(0), x[k : k + PART].max(0)) for k in range(0, len(x), PART)]
+    box = lambda x: [(k, x[k : k + part].min(0), x[k : k + part].max(0)) for k in range(0, len(x), part)]
     a32, b32, parts = a.astype(np.float32), b.astype(np.float32), box(b)
     for i, lo, hi in box(a):
         for j, lo2, hi2 in parts:
             if apart(lo, hi, lo2, hi2) > eps * eps * (1 + 1e-9):
                 continue
-            s = a32[i : i + PART] @ b32[j : j + PART].T
+            s = a32[i : i + part] @ b32[j : j + part].T
             sure = s >= least + MARGIN
             x, y = np.nonzero((s >= least - MARGIN) & ~sure)
             if len(x):
                 sure[x, y] = np.einsum("ij,ij->i", a[i + x], b[j + y]) >= least
-            out[i : i + PART, j : j + PART] = sure
+            out[i : i + part, j : j + part] = sure
     return out
 
 
@@ -193,7 +196,7 @@ def forest(m: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.concatenate([np.stack([rows[r], x], 1), np.stack([cols[c], y], 1)])
 
 
-def _tile(least: float, eps: float):
+def _tile(least: float, eps: float, part: int):
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
@@ -201,7 +204,7 @@ def _tile(least: float, eps: float):
                 k2, i2, n2 = (np.frombuffer(v, np.int64) for v in (r.keys2, r.ids2, r.copies2))
                 a = np.frombuffer(r.units1, np.float64).reshape(len(k1), -1)
                 same = r.x == r.y
-                m = linked(a, a if same else np.frombuffer(r.units2, np.float64).reshape(len(k2), -1), least, eps)
+                m = linked(a, a if same else np.frombuffer(r.units2, np.float64).reshape(len(k2), -1), least, eps, part)
                 if same:
                     np.fill_diagonal(m, False)
                 one, two = m @ n2, np.zeros(0, np.int64) if same else n1 @ m
@@ -213,7 +216,7 @@ def _tile(least: float, eps: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
     eps = float(np.sqrt(2 - 2 * least))
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -222,14 +225,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     classes = units.groupBy("key", "dim", "unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     turned = classes.mapInPandas(_cells(axes(units), eps), f"key long, id long, copies long, dim int, cells array<int>, unit binary")
     order = ["dim", "cells", "id", "key"]
-    packed = written(turned.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_pack, BLOCKS.removeprefix("at long, ")), "blocks")
+    packed = written(turned.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_pack(block), BLOCKS.removeprefix("at long, ")), "blocks")
     per = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition written
     per = per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     blocks = packed.join(per, "part").withColumn("at", F.col("first") + F.col("seq"))
     pairs = block_pairs(written(blocks.select("at", "dim", "lo", "hi"), "boxes"), eps)
     sides = [blocks.select(F.col("at").alias(c), *[F.col(v).alias(f"{v}{i}") for v in ("keys", "ids", "copies", "units")]) for i, c in ((1, "x"), (2, "y"))]
     tiles = pairs.join(sides[0], "x").join(sides[1], "y").repartition("x", "y")
-    found = written(tiles.mapInPandas(_tile(least, eps), "key long, n long, a long, b long"), "tiles")
+    found = written(tiles.mapInPandas(_tile(least, eps, part), "key long, n long, a long, b long"), "tiles")
     counts = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("others"))
     comps = components(found.where("n = 0").select("a", "b").union(units.join(classes.where("copies > 1").select("key", F.col("id").alias("first")), "key").select("id", "first")))
     own = units.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))

@@ -274,26 +274,30 @@ def _cut(with_text: bool):
     return run
 
 
-def _pack(batches):
+def _pack(most: int):
     """repeat_tree's blocks, and which texts were null."""
-    flags: list[bool] = []
 
-    def marked():
-        for pdf in batches:
-            flags.extend(pdf["text"].isna().tolist())
-            yield pdf
+    def run(batches):
+        flags: list[bool] = []
 
-    at = 0
-    for block in repeat_tree._pack(marked()):
-        n = len(block["ids"].iloc[0]) // 8
-        yield block.assign(nulls=[np.array(flags[at : at + n], bool).tobytes()])
-        at += n
+        def marked():
+            for pdf in batches:
+                flags.extend(pdf["text"].isna().tolist())
+                yield pdf
+
+        at = 0
+        for block in repeat_tree._pack(most)(marked()):
+            n = len(block["ids"].iloc[0]) // 8
+            yield block.assign(nulls=[np.array(flags[at : at + n], bool).tobytes()])
+            at += n
+
+    return run
 
 
-def deduplicate(docs: DataFrame, percent: int = 80, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 80, with_text: bool = False, block: int = repeat_tree.BLOCK) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and, if asked for, the text that remains."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(slim.mapInPandas(_pack, "block long, bytes long, ids binary, sizes binary, data binary, nulls binary"), "blocks")
+    blocks = written(slim.mapInPandas(_pack(block), "block long, bytes long, ids binary, sizes binary, data binary, nulls binary"), "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(16, int(total / 200 * BANDS * 9) // BUCKET + 1)
     shared = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, keys binary, lines binary, marks binary").groupBy("bucket").applyInPandas(_answer, "block long, near binary, same binary"), "shared")

@@ -107,23 +107,26 @@ class Block:
             yield k, own[first], np.diff(np.append(first, len(own))), order[lo:hi], first
 
 
-def _pack(batches):
-    part, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-    ids, texts, size = [], [], 0
+def _pack(most: int):
+    def run(batches):
+        part, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        ids, texts, size = [], [], 0
 
-    def close():
-        return pd.DataFrame({"block": [part << 32 | seq], "bytes": [size], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [pack.compress(b"".join(texts))]})
+        def close():
+            return pd.DataFrame({"block": [part << 32 | seq], "bytes": [size], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [pack.compress(b"".join(texts))]})
 
-    for pdf in batches:
-        for d, t in zip(pdf["doc_id"].tolist(), pdf["text"]):
-            ids.append(NULL if d is None or d != d else int(d))
-            texts.append((t or "").encode("utf-8", "surrogatepass"))
-            size += len(texts[-1])
-            if size >= BLOCK or len(ids) >= BLOCK // 64:
-                yield close()
-                seq, ids, texts, size = seq + 1, [], [], 0
-    if ids:
-        yield close()
+        for pdf in batches:
+            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"]):
+                ids.append(NULL if d is None or d != d else int(d))
+                texts.append((t or "").encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+                if size >= most or len(ids) >= most // 64:
+                    yield close()
+                    seq, ids, texts, size = seq + 1, [], [], 0
+        if ids:
+            yield close()
+
+    return run
 
 
 def _open(r) -> Block:
@@ -152,19 +155,23 @@ def _ask(buckets: int):
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer(most: int):
     """For each block's hashes: bits for those that another block has, and for those that are hot."""
-    hs = [_eight(h) for h in pdf["h"]]
-    ns = [np.frombuffer(zstandard.decompress(n), "<u2") for n in pdf["n"]]
-    every, where = np.unique(np.concatenate(hs), return_inverse=True)
-    blocks = np.bincount(where)
-    hot = np.bincount(where, np.concatenate(ns)) > HOT
-    rows, at = [], 0
-    for k, (bucket, block) in enumerate(zip(pdf["bucket"], pdf["block"])):
-        own = where[at : at + len(hs[k])]
-        at += len(own)
-        rows.append((block, bucket, np.packbits(blocks[own] > 1).tobytes(), np.packbits(hot[own]).tobytes()))
-    return pd.DataFrame(rows, columns=["block", "bucket", "again", "hot"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hs = [_eight(h) for h in pdf["h"]]
+        ns = [np.frombuffer(zstandard.decompress(n), "<u2") for n in pdf["n"]]
+        every, where = np.unique(np.concatenate(hs), return_inverse=True)
+        blocks = np.bincount(where)
+        hot = np.bincount(where, np.concatenate(ns)) > most
+        rows, at = [], 0
+        for k, (bucket, block) in enumerate(zip(pdf["bucket"], pdf["block"])):
+            own = where[at : at + len(hs[k])]
+            at += len(own)
+            rows.append((block, bucket, np.packbits(blocks[own] > 1).tobytes(), np.packbits(hot[own]).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "again", "hot"])
+
+    return run
 
 
 SENT = "bucket int, block long, n int, payload binary, w1 long, w2 long, lo long, hi long, places binary, docs binary"
@@ -391,19 +398,19 @@ def _cut(with_bytes: bool):
     return run
 
 
-def deduplicate(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, with_bytes: bool = False, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the remaining bytes."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(slim.mapInPandas(_pack, "block long, bytes long, ids binary, sizes binary, data binary"), "blocks")
+    blocks = written(slim.mapInPandas(_pack(block), "block long, bytes long, ids binary, sizes binary, data binary"), "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(16, int(total * 2 / (PLACES + 1) * 8) // BUCKET + 1)
-    answers = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, h binary, n binary").groupBy("bucket").applyInPandas(_answer, "block long, bucket int, again binary, hot binary"), "answers")
+    answers = written(blocks.mapInPandas(_ask(buckets), "bucket int, block long, h binary, n binary").groupBy("bucket").applyInPandas(_answer(hot), "block long, bucket int, again binary, hot binary"), "answers")
     sent = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_send(buckets), SENT), "suffixes")
     drop(answers)
     cold = sent.where("bucket >= 0").select("bucket", "block", "n", "payload").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_buckets, "block long, runs binary")
-    hot = sent.where("bucket < 0")
-    least = hot.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").drop("most")
-    warm = hot.select("w1", "w2", "block", "places", "docs").join(least, ["w1", "w2"]).mapInPandas(_hot_runs, "block long, runs binary")
+    often = sent.where("bucket < 0")
+    least = often.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").drop("most")
+    warm = often.select("w1", "w2", "block", "places", "docs").join(least, ["w1", "w2"]).mapInPandas(_hot_runs, "block long, runs binary")
     runs = written(cold.union(warm), "runs")
     drop(sent)
     out = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInPandas(_cut(with_bytes), OUT)
