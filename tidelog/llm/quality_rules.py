@@ -1,9 +1,9 @@
 """Operator 7, quality classifier: a sparse rule ensemble.
 
-Statistics of whole texts are Spark columns. Boosted shallow trees are grown on a bounded sample of labelled
+Statistics of whole texts become columns, in one pass over Arrow batches. Boosted shallow trees are grown on a bounded sample of labelled
 rows (about SAMPLE of them, taken by a hash); every path from a root to a node is a rule, a conjunction of
 thresholds. A logistic regression with an L1 penalty weighs the rules, most of them to zero, and the rest
-are compiled into one Spark column expression, so scoring runs no Python.
+are compiled into one Spark column expression over the statistics.
 
 Defined results: null and empty texts have all statistics 0 and are scored by them. Without labels every
 score is 0.5; with labels of one class only it is their smoothed mean. Null labels are not learned from;
@@ -13,6 +13,9 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,37 +25,50 @@ from .common import held_out, table
 SAMPLE, TREES, DEPTH, BINS, RATE, SEED = 20_000, 40, 3, 32, 0.3, 11
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.split(t, "\n")
-    n, n_words, n_lines = F.length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
-
-    def share(x, of):
-        return F.when(of > 0, x / of).otherwise(0.0)
-
-    def count(chars):
-        return n - F.length(F.translate(t, chars, ""))
-
-    letters = F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("double")
-    upper = F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("double")
-    return {
-        "log_chars": F.log1p(n),
-        "letter_share": share(letters, n),
-        "upper_share": share(upper, letters),
-        "digit_share": share(count("0123456789"), n),
-        "symbols_a_word": share(count("#$%&*@^~<>{}[]\\_+="), n_words),
-        "bars_a_word": share(count("|"), n_words),
-        "shouts_a_word": share(count("!?"), n_words),
-        "stops_a_word": share(count(".,;:"), n_words),
-        "word_length": share(n - n_words, n_words),
-        "distinct_words": share(F.size(F.array_distinct(words)).cast("double"), n_words),
-        "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), n_lines),
-        "words_a_line": share(n_words, n_lines),
-    }
+NAMES = ["log_chars", "letter_share", "upper_share", "digit_share", "symbols_a_word", "bars_a_word", "shouts_a_word", "stops_a_word", "word_length", "distinct_words", "distinct_lines", "words_a_line"]
 
 
-NAMES = ["log_chars", "letter_share", "upper_share", "digit_share", "symbols_a_word", "bars_a_word", "shouts_a_word", "stops_a_word", "word_length", "distinct_words", "distinct_lines", "words_a_line"]
+@functools.cache
+def _kind(code: int) -> tuple[bool, ...]:
+    """Letter, capital, digit, symbol, bar, shout, stop."""
+    c = chr(code)
+    return c.isalpha(), c.isupper(), c in "0123456789", c in "#$%&*@^~<>{}[]\\_+=", c == "|", c in "!?", c in ".,;:"
+
+
+def measure(text: str | None) -> tuple[float, ...]:
+    """The statistics of a text, in the order of NAMES."""
+    t = text or ""
+    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) and codes.max() > 0xFFFF:
+        seen, times = np.unique(codes, return_counts=True)
+    else:
+        times = np.bincount(codes.astype(np.int64))
+        seen = np.flatnonzero(times)
+        times = times[seen]
+    sums = [0] * 7
+    for code, n in zip(seen.tolist(), times.tolist()):
+        for k, yes in enumerate(_kind(code)):
+            if yes:
+                sums[k] += n
+    letters, upper, digits, symbols, bars, shouts, stops = sums
+    words, lines, n = t.split(), t.split("\n"), len(t)
+    share = lambda x, of: x / of if of else 0.0
+    w = len(words)
+    return (math.log1p(n), share(letters, n), share(upper, letters), share(digits, n), share(symbols, w), share(bars, w), share(shouts, w), share(stops, w), share(n - w, w), share(len(set(words)), w), share(len(set(lines)), len(lines)), share(w, len(lines)))
+
+
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, then NAMES."""
+    schema = docs.select(*keep).schema
+    for name in NAMES:
+        schema = schema.add(name, "double")
+
+    def run(batches):
+        for pdf in batches:
+            values = np.array([measure(t) for t in pdf["__text"]], float).reshape(len(pdf), len(NAMES))
+            yield pdf.drop(columns="__text").assign(**dict(zip(NAMES, values.T)))
+
+    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
 
 
 def _sigmoid(z):
@@ -141,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     n = labels.count()
     u = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) / float(1 << 30)
     some = labels.where(u < min(1.0, sample / max(n, 1))).limit(2 * sample)  # at most 2 x sample rows of 12 bytes
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == F.col("label_id")).select(*[c.alias(k) for k, c in statistics(F.col("text")).items()], "quality").limit(4 * sample).collect()
-    rows = sorted(tuple(r) for r in rows)
+    labelled = docs.join(F.broadcast(some), docs["doc_id"] == F.col("label_id"))
+    rows = sorted((*r[1:], r[0]) for r in statistics(labelled, ["quality"]).limit(4 * sample).collect())
     return fit_rows(np.array([r[:-1] for r in rows], float).reshape(len(rows), len(NAMES)), np.array([r[-1] for r in rows], float))
 
 
@@ -159,8 +175,7 @@ def compiled(model: dict) -> Column:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    stats = docs.select(*keep, *[c.alias(k) for k, c in statistics(F.col("text")).items()])
-    return stats.withColumn("score", compiled(model)).select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return statistics(docs, keep).withColumn("score", compiled(model)).select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
