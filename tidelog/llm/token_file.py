@@ -30,7 +30,7 @@ from .common import table, written
 
 SHARD_TOKENS = 1 << 20
 BLOCK = 1 << 16
-CACHE = 400_000
+CACHE = 1_000_000  # segments, about 200 bytes each
 END = 2
 MAGIC = b"TWM1"
 SCHEMA = "part int, seq int, n_tokens long, file binary"
@@ -51,28 +51,55 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.tok.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cache: dict[str, bytes] = {}  # of segments without their leading space
+        self.first: dict[str, bytes] = {}  # of what stands before the first such space
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, cache: dict[str, bytes], segments: list[str], lead: str) -> None:
+        """Encode segments in one call, each as a word of its own."""
+        size = self.kind().itemsize
+        for k in range(0, len(segments), 20_000):
+            some = segments[k : k + 20_000]
+            got = self.tok.encode([lead + x for x in some], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(got.ids, self.kind).tobytes()
+            ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))) * size
+            at = 0
+            for x, end in zip(some, ends.tolist()):
+                cache[x] = data[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native unsigned integers of self.kind."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, parts = self.cache, []
+        cache, first = self.cache, self.first
+        if len(cache) + len(first) > CACHE:
+            cache.clear()
+            first.clear()
+        parts = []
         for t in texts:
             if any(s in t for s in self.special):
                 parts.append(None)
-                continue
-            p = t.split(" ")
-            p[1:] = [" " + x for x in p[1:]]
-            if any(len(x) < 2 or x[1].isspace() for x in p[1:]):
+            elif _ODD.search(t):
                 p = re.split(r"(?= \S)", t)
-            parts.append(p)
-        new = list(set().union(*(p for p in parts if p)).difference(cache))
-        cache.update(zip(new, self._many(new)))
-        return [b"".join(map(cache.__getitem__, p)) if p is not None else self._many([t])[0] for t, p in zip(texts, parts)]
+                parts.append([p[0], *(x[1:] for x in p[1:])])
+            else:
+                parts.append(t.split(" "))
+        words = set().union(*(p[1:] for p in parts if p))
+        new = words.difference(cache)
+        split = [(x, m[1], m[2]) for x in new if (m := _TAIL.fullmatch(x))]
+        alone = new.difference(x for x, _, _ in split).union({w for _, w, _ in split}.difference(cache))
+        self._learn(first, list({p[0] for p in parts if p}.union(t for _, _, t in split).difference(first)), "")
+        self._learn(cache, list(alone), " ")
+        for x, w, t in split:
+            cache[x] = cache[w] + first[t]
+        get = dict(zip(words, map(cache.__getitem__, words))).__getitem__  # small enough to stay near the processor
+        return [self._whole(t) if p is None else first[p[0]] + b"".join(map(get, p[1:])) for t, p in zip(texts, parts)]
+
+
+#: A word and the punctuation after it, which are always pieces of their own (an apostrophe may not be).
+_TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+_ODD = re.compile(r" (?:\s|\Z)")
 
 
 _encoders: dict[int, Encoder] = {}
@@ -227,8 +254,8 @@ def shards(docs: DataFrame, vocabulary_path: str, end: int = END, shard_tokens:
             return pd.DataFrame({"part": [part], "seq": [seq], "n_tokens": [len(x)], "file": [build(x, np.array(ids, "int64"), np.concatenate([[0], np.cumsum(np.array(lengths, "int64"))]), enc.bits)]})
 
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                some = pdf.iloc[k : k + 500]
+            for k in range(0, len(pdf), 1000):
+                some = pdf.iloc[k : k + 1000]
                 for d, t in zip(some["doc_id"].tolist(), enc.encode([t or "" for t in some["text"]])):
                     ids.append(NULL if d is None or d != d else int(d))
                     texts += [t, stop]
