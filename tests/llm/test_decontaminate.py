@@ -62,3 +62,26 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 50)
     assert sorted(map(tuple, op.contaminated(df, bench).collect())) == whole and len(whole) == 6
     assert op.clean(df, bench).count() == 0
+
+
+def test_passages_of_long_items_and_phrases_of_short_ones(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    items = [(1, long), (5, "where do the herons nest"), (6, "what is the capital of france"), (8, "one two three four five six seven eight")]
+    docs = [
+        (1, "a b c " + " ".join(f"w{i}" for i in range(60, 150)) + " d e f", [1]),
+        (2, " ".join(f"w{i}" if i % 9 else "edit" for i in range(100, 160)), [1]),
+        (3, " ".join(f"w{i}" for i in range(60, 80)), []),
+        (4, "nobody knows where do the swans sleep", []),
+        (5, "so where do the old herons nest now", [5]),
+        (6, "what is the time in this town", []),
+        (7, "What is the capital of Spain?", [6]),
+        (8, "is the capital of norway", []),
+        (9, "one two three four 5 6 7 8", []),
+        (10, "one two 3 four five six 7 eight", [8]),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = op.contaminated(df, bench).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(d, i) for d, _, own in docs for i in own]
+    assert {x["doc_id"]: (x["first_word"], x["last_word"]) for x in got}[1] == (3, 92)
+    assert sorted(x["doc_id"] for x in op.clean(df, bench).collect()) == [d for d, _, own in docs if not own]

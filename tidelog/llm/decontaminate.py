@@ -5,7 +5,9 @@ each word 3-gram of the benchmark occurs. An item's seeds are its rarer 3-grams
 count, ties included), so a passage that leaked into many documents keeps seeds. A second pass finds seeds in
 whole texts and aligns the item with the words around them; edited and paraphrased copies keep enough
 3-grams to be seeded, and the alignment scores what edits left: matches +2, mismatches and gaps -1, as a
-share of the item's own score.
+share of the item's own score. An alignment counts from a share of SCORE on, or from the score of PASSAGE words
+on, so that passages of long items count too; and it must match WORDS words, or 4 in 5 of a shorter item's, so
+that a phrase alone is no copy of a short item.
 
 The benchmark is read in blocks of at most BLOCK bytes of text; each block's index is broadcast, so a
 benchmark of any size runs, block by block, against all documents. Documents are never shuffled.
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 N, RARE, MIN_WORDS, SCORE, BLOCK = 3, 0.75, 5, 0.5, 8 << 20
+PASSAGE, WORDS = 30, 5
 MATCH, MISS, GAP = 2, 1, 1
+_PACK = 1 << 20  # a score times this, plus the words matched
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -94,23 +98,28 @@ class Index:
                     spans[-1][1] = hi
                 else:
                     spans.append([lo, hi])
+            short = SCORE * len(item) < WORDS  # longer items match as many words by their score
+            pack = _PACK if short else 1
+            weights = (MATCH * pack + short, MISS * pack, GAP * pack)
+            least = MATCH * min(SCORE * len(item), PASSAGE)
             for lo, hi in spans:
-                score, end = align(item, x[lo:hi])
-                if score > best[0]:
+                both, end = align(item, x[lo:hi], *weights)
+                score, matched = both // pack, both % pack
+                if score > best[0] and score >= least and not (short and matched < min(WORDS, 0.8 * len(item))):
                     best = score, lo, end
             score, lo, end = best
-            if score >= SCORE * MATCH * len(item):
-                _, back = align(item[::-1], x[lo : lo + end + 1][::-1])
+            if score:
+                _, back = align(item[::-1], x[lo : lo + end + 1][::-1], *weights)
                 yield k, score / (MATCH * len(item)), lo + end - back, lo + end
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def align(a: np.ndarray, b: np.ndarray, match: int = MATCH, miss: int = MISS, gap: int = GAP) -> tuple[int, int]:
     """The best local alignment's score, and where in b one that has it ends."""
-    j = np.arange(len(b) + 1) * GAP
+    j = np.arange(len(b) + 1) * gap
     row, best, end = np.zeros(len(b) + 1, np.int64), 0, 0
     for w in a:
-        new = np.maximum(row - GAP, 0)
-        np.maximum(new[1:], row[:-1] + np.where(b == w, MATCH, -MISS), out=new[1:])
+        new = np.maximum(row - gap, 0)
+        np.maximum(new[1:], row[:-1] + np.where(b == w, match, -miss), out=new[1:])
         row = np.maximum.accumulate(new + j) - j
         top = int(row.argmax())
         if row[top] > best:
