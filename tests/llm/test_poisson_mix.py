@@ -1,6 +1,10 @@
+import hashlib
 import math
 
+import duckdb
+
 from tidelog.llm import poisson_mix as op
+from tidelog.llm.queries import QUERIES, SQL
 
 
 def test_counts_follow_weights_and_survive_odd_rows(spark):
@@ -26,3 +30,18 @@ def test_inversion_is_the_poisson_distribution(spark):
             total += math.exp(-rest + k * math.log(rest) - math.lgamma(k + 1))
             assert abs(step - total) < 1e-9
         assert r["steps"][-1] > 1 - 1e-9
+
+
+def test_the_whole_mixture_carries_every_column_in_order(spark):
+    data = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    df = QUERIES["op1_poisson_mix_whole"](spark, data)
+    got = df.collect()
+    assert df.columns == [*spark.read.parquet(f"{data}/documents.parquet").columns, "mix_copy", "mix_order"]
+    assert all(tuple(r)[:-2] == tuple(docs[r["doc_id"]]) for r in got)
+    assert [r["mix_order"] for r in got] == sorted(hashlib.md5(f"{op.SEED}:order:{r['doc_id']}:{r['mix_copy']}".encode()).hexdigest() for r in got)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(SQL["op1_poisson_mix_whole"]).fetchall())
+    few = sorted(tuple(r) for r in QUERIES["op1_poisson_mix"](spark, data).collect())
+    assert few == sorted((r["doc_id"], r["source"], r["n_chars"], r["mix_copy"], r["mix_order"]) for r in got)

@@ -75,6 +75,11 @@ def op1_poisson_mix(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", F.col("n_chars"), "mix_copy", "mix_order")
 
 
+def op1_poisson_mix_whole(spark, sf_dir: str) -> DataFrame:
+    """The mixture itself: every column of documents, texts too, with mix_copy and mix_order."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = f"""
 WITH per AS (SELECT coalesce(source, chr(0)) AS k, sum(coalesce(length(text), 0)) AS chars FROM documents GROUP BY 1),
 w AS (SELECT k, chars, sqrt(CAST(chars AS DOUBLE)) AS weight FROM per),
@@ -94,6 +99,9 @@ SELECT doc_id, source, n_chars, mix_copy, md5('{SEED}:order:' || coalesce(CAST(d
 """
 
 
+OP1_WHOLE_SQL = f"WITH m AS ({OP1_SQL}), one AS (SELECT DISTINCT * FROM m) SELECT d.*, o.mix_copy, o.mix_order FROM documents d JOIN one o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.source IS NOT DISTINCT FROM o.source AND d.n_chars IS NOT DISTINCT FROM o.n_chars"
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the mixture's weights, in its order; the columns of documents."""
     return mix(docs.select("doc_id", "text", "lang", "source", "n_chars")).drop("mix_copy", "mix_order")

@@ -6,6 +6,7 @@ from . import decontaminate, epsilon_grid, fuzzy_lines, language_id, minhash_joi
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_poisson_mix_whole": poisson_mix.op1_poisson_mix_whole,
     "op1_poisson_mix": poisson_mix.op1_poisson_mix,
     "op2_epsilon_grid": epsilon_grid.op2_epsilon_grid,
     "op3_token_file": token_file.op3_token_file,
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-SQL = {"op1_poisson_mix": poisson_mix.OP1_SQL}
+SQL = {"op1_poisson_mix": poisson_mix.OP1_SQL, "op1_poisson_mix_whole": poisson_mix.OP1_WHOLE_SQL}
