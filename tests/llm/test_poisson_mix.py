@@ -45,3 +45,19 @@ def test_the_whole_mixture_carries_every_column_in_order(spark):
     assert sorted(map(tuple, got)) == sorted(db.execute(SQL["op1_poisson_mix_whole"]).fetchall())
     few = sorted(tuple(r) for r in QUERIES["op1_poisson_mix"](spark, data).collect())
     assert few == sorted((r["doc_id"], r["source"], r["n_chars"], r["mix_copy"], r["mix_order"]) for r in got)
+
+
+def test_large_rates_stay_poisson(spark):
+    docs = spark.createDataFrame([("a", 1.0)], "source string, x double").selectExpr("source", "repeat('t', 1000) text")
+    for mean in (220.0, 599.9, 600.1, 5000.5, 40000.0):
+        r = op.rates(docs, None, mean).first()
+        ks = range(r["whole"], r["whole"] + len(r["steps"]))
+        ps = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in ks]
+        total = 0.0
+        for p, step in zip(ps, r["steps"]):
+            total += p
+            assert abs(step - total) < 1e-8
+        middle = sum(k * p for k, p in zip(ks, ps))
+        steps = [0.0, *r["steps"]]
+        variance = sum((k - middle) ** 2 * (b - a) for k, a, b in zip(ks, steps, steps[1:]))
+        assert abs(middle / mean - 1) < 1e-6 and abs(variance / mean - 1) < 1e-5

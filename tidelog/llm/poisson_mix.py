@@ -17,6 +17,8 @@ weights, a source weighs the square root of its characters. Extra columns stay;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import table, written
 SEED = 17
 EPOCHS = 1.0  # the mixture's characters, times those of the input
 FEW = 20_000  # sources that may be broadcast: 10 MB of steps
-MAX_RATE = 600.0  # below the mean at which exp(-rate) is no normal double; larger rates are whole copies and a rest
+MAX_RATE = 600.0  # below the mean at which exp(-rate) is no normal double; for larger rates the distribution starts near the mean
 
 
 def uniform(*parts: Column) -> Column:
@@ -35,7 +37,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float) -> DataFrame:
-    """source_key, whole (copies for certain), steps (the Poisson distribution function from 0 on)."""
+    """source_key, whole (copies for certain: fewer have odds under 1e-30), steps (the Poisson distribution function from there on)."""
     per = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source_key")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
     if weights is None:
         weight = F.sqrt(F.col("chars").cast("double"))
@@ -47,12 +49,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float) -> D
     chars, weights = per.agg(F.sum("chars"), F.sum("weight")).first()
     mean = F.col("weight") / F.lit(float(weights or 1)) * F.lit(chars or 0) * F.lit(float(epochs)) / F.col("chars")
     per = per.withColumn("rate", F.when((F.col("weight") > 0) & (F.col("chars") > 0), mean).otherwise(0.0))
-    per = per.withColumn("whole", F.greatest(F.floor(F.col("rate") - MAX_RATE), F.lit(0)).cast("long")).withColumn("rest", F.col("rate") - F.col("whole"))
-    first = F.struct(F.exp(-F.col("rest")).alias("p"), F.exp(-F.col("rest")).alias("sum"), F.array(F.exp(-F.col("rest"))).alias("steps"))
-    top = F.ceil(F.col("rest") + 10 * F.sqrt("rest") + 30).cast("int")
+    rate, n = F.col("rate"), F.col("whole").cast("double")
+    per = per.withColumn("whole", F.when(rate > MAX_RATE, F.floor(rate - 12 * F.sqrt("rate") - 30)).otherwise(0).cast("long"))
+    stirling = n * F.log(rate / n) - (rate - n) - F.log(2 * math.pi * n) / 2 - 1 / (12 * n) + 1 / (360 * n * n * n)
+    p = F.when(n > 0, F.exp(stirling)).otherwise(F.exp(-rate))  # of `whole` copies
+    first = F.struct(p.alias("p"), p.alias("sum"), F.array(p).alias("steps"))
+    top = F.ceil(rate - n + 10 * F.sqrt("rate") + 30).cast("int")
 
     def step(a, k):
-        p = a["p"] * F.col("rest") / k
+        p = a["p"] * rate / (n + k)
         return F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), F.concat(a["steps"], F.array(a["sum"] + p)).alias("steps"))
 
     return per.select("source_key", "rate", "whole", F.aggregate(F.sequence(F.lit(1), top), first, step)["steps"].alias("steps"))
