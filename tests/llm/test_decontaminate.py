@@ -85,3 +85,18 @@ def test_passages_of_long_items_and_phrases_of_short_ones(spark):
     assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(d, i) for d, _, own in docs for i in own]
     assert {x["doc_id"]: (x["first_word"], x["last_word"]) for x in got}[1] == (3, 92)
     assert sorted(x["doc_id"] for x in op.clean(df, bench).collect()) == [d for d, _, own in docs if not own]
+
+
+def test_scripts_without_spaces_and_short_items(spark):
+    zh, th, ja = "法国的首都是哪一座城市，它有多少人口？", "เมืองหลวงของประเทศฝรั่งเศสคือเมืองอะไร", "フランスの首都はどこですか。人口は何人ですか。"
+    items = [(1, zh), (2, th), (3, ja), (4, "forty two"), (5, "巴黎"), (6, "?!"), (7, "a\u00a0narrow\u2003river crosses\u3000the plain")]
+    docs = [
+        (1, f"前言。{zh}后记。", [1]), (2, f"abc {th[3:]} xyz", [2]), (3, ja.replace("。", "\n"), [3]),
+        (4, "Forty-two.", [4]), (5, "forty two people came", []), (6, "「巴黎」", [5]), (7, "巴黎很美", []),
+        (8, "法国的首都很美丽", []), (9, "... !", []), (10, "so a narrow river crosses the plain here", [7]),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = op.contaminated(df, bench).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(d, i) for d, _, own in docs for i in own]
+    assert sorted(x["doc_id"] for x in op.clean(df, bench).collect()) == [d for d, _, own in docs if not own]

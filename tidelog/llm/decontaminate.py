@@ -1,6 +1,7 @@
 """Operator 10, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and stripped of ASCII punctuation. A first pass counts, over all documents, in how many
+Words are lower-cased and stripped of ASCII, general and CJK punctuation; each character of a script without
+spaces (Chinese, Japanese, Thai, Lao, Tibetan, Burmese, Khmer) is a word, and two of them count as one. A first pass counts, over all documents, in how many
 each word 3-gram of the benchmark occurs. An item's seeds are its rarer 3-grams (the RARE share by that
 count, ties included), so a passage that leaked into many documents keeps seeds. A second pass finds seeds in
 whole texts and aligns the item with the words around them; edited and paraphrased copies keep enough
@@ -12,13 +13,14 @@ that a phrase alone is no copy of a short item.
 The benchmark is read in blocks of at most BLOCK bytes of text; each block's index is broadcast, so a
 benchmark of any size runs, block by block, against all documents. Documents are never shuffled.
 
-Defined results: null and empty texts match nothing; neither do items under MIN_WORDS words, which show
-nothing. Repeated documents and repeated items give a row for each pair of rows. Extra columns are ignored;
+Defined results: null and empty texts match nothing; items under MIN_WORDS words, which show nothing in
+running text, match only a document that is the item and nothing else. Repeated documents and repeated items give a row for each pair of rows. Extra columns are ignored;
 an empty table gives no rows. Of equally good alignments any one gives the place.
 """
 
 from __future__ import annotations
 
+import re
 import string
 
 import numpy as np
@@ -32,11 +34,21 @@ N, RARE, MIN_WORDS, SCORE, BLOCK = 3, 0.75, 5, 0.5, 8 << 20
 PASSAGE, WORDS = 30, 5
 MATCH, MISS, GAP = 2, 1, 1
 _PACK = 1 << 20  # a score times this, plus the words matched
+_APART = re.compile("[\x85\xa0\xab\xbb\u1680\u2000-\u206f\u3000-\u3004\u3008-\u303f\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_ALONE = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _ALONE.sub(r" \g<0> ", _APART.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+def size(ws: list[bytes]) -> float:
+    """Words, of which two characters of a script without spaces make one."""
+    return sum(0.5 if w[0] > 127 and _ALONE.fullmatch(w.decode("utf-8", "surrogatepass")) else 1.0 for w in ws)
 
 
 class Index:
@@ -46,7 +58,13 @@ class Index:
         self.names = [i for i, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64) for _, ws in items]
-        at = [(k, p) for k, x in enumerate(self.items) for p in range(len(x) - N + 1)]
+        sizes = [size(ws) for _, ws in items]
+        self.scale = [len(x) / n if n else 1.0 for x, n in zip(self.items, sizes)]
+        self.whole: dict[tuple, list[int]] = {}
+        for k, (x, n) in enumerate(zip(self.items, sizes)):
+            if n < MIN_WORDS:
+                self.whole.setdefault(tuple(x.tolist()), []).append(k)
+        at = [(k, p) for k, x in enumerate(self.items) if sizes[k] >= MIN_WORDS for p in range(len(x) - N + 1)]
         grams = np.array([self._code(self.items[k][p : p + N]) for k, p in at], np.int64)
         order = np.argsort(grams, kind="stable")
         self.at = np.array(at, np.int64).reshape(-1, 2)[order]
@@ -83,6 +101,8 @@ class Index:
     def hits(self, text: str | None):
         """(item number, score, first word, last word) for each item that the text has a copy of."""
         x, p, codes = self.read(text)
+        if 0 < len(x) < 2 * MIN_WORDS:
+            yield from ((k, 1.0, 0, len(x) - 1) for k in self.whole.get(tuple(x.tolist()), []))
         near: dict[int, list[int]] = {}
         for place, lo, hi in zip(p.tolist(), np.searchsorted(self.grams, codes).tolist(), np.searchsorted(self.grams, codes, "right").tolist()):
             for j in range(lo, hi):
@@ -98,14 +118,15 @@ class Index:
                     spans[-1][1] = hi
                 else:
                     spans.append([lo, hi])
-            short = SCORE * len(item) < WORDS  # longer items match as many words by their score
+            scale = self.scale[k]
+            short = SCORE * len(item) < WORDS * scale  # longer items match as many words by their score
             pack = _PACK if short else 1
             weights = (MATCH * pack + short, MISS * pack, GAP * pack)
-            least = MATCH * min(SCORE * len(item), PASSAGE)
+            least = MATCH * min(SCORE * len(item), PASSAGE * scale)
             for lo, hi in spans:
                 both, end = align(item, x[lo:hi], *weights)
                 score, matched = both // pack, both % pack
-                if score > best[0] and score >= least and not (short and matched < min(WORDS, 0.8 * len(item))):
+                if score > best[0] and score >= least and not (short and matched < min(WORDS * scale, 0.8 * len(item))):
                     best = score, lo, end
             score, lo, end = best
             if score:
@@ -131,7 +152,7 @@ def _blocks(benchmark: DataFrame):
     have, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         ws = words(r["text"])
-        if len(ws) < MIN_WORDS:
+        if not ws:
             continue
         have.append((r["item_id"], ws))
         size += len(r["text"])
