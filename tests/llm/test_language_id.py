@@ -40,3 +40,16 @@ def test_odd_rows(spark):
     one = op.predict(docs, op.fit(docs.where("lang = 'de'")), ["doc_id"]).collect()
     assert {x["lang_pred"] for x in one} == {"und", "de"}
     assert op.predict(docs.limit(0), op.fit(docs.limit(0)), ["doc_id"]).count() == 0
+
+
+def test_every_language_is_learnt_and_samples_repeat(spark):
+    n = 300
+    say = lambda i, r: " ".join("".join(chr(0x4E00 + 3 * i + r.randrange(3)) for _ in range(4)) for _ in range(6))
+    r = random.Random(2)
+    rows = [(say(i, r), f"l{i:03}") for i in range(n) for _ in range(3)] + [("copy of one text", "l000")] * 400
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    models = [op.fit(docs.repartition(k), per_class=3) for k in (3, 5)]
+    assert models[0]["langs"] == sorted({x for _, x in rows}) and len(models[0]["langs"]) == n
+    assert (models[0]["w"] == models[1]["w"]).all()
+    got = op.predict(docs.where("text not like 'copy%'"), models[0], ["lang"]).collect()
+    assert np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.9

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 BITS = 15
-MAX_LANGS = 256
+MANY = 256  # languages from which weights are single precision
 UND = "und"
 
 _ASCII = np.full(128, 32, np.uint32)
@@ -63,7 +63,7 @@ def _document_frequency(batches):
 
 def ftrl(xs, ys, classes: int, l1: float, l2: float, alpha: float = 0.5, beta: float = 1.0, epochs: int = 3) -> np.ndarray:
     """Weights (bucket, class) of the softmax model; zero wherever the L1 penalty holds."""
-    z = np.zeros((1 << BITS, classes))
+    z = np.zeros((1 << BITS, classes), np.float32 if classes > MANY else np.float64)
     n = np.zeros_like(z)
 
     def weights(at):
@@ -82,7 +82,10 @@ def ftrl(xs, ys, classes: int, l1: float, l2: float, alpha: float = 0.5, beta: f
             s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - s * w
             n[at] += g * g
-    return weights(slice(None))
+    out = np.empty_like(z)
+    for i in range(0, len(z), 1024):
+        out[i : i + 1024] = weights(slice(i, i + 1024))
+    return out
 
 
 def _temperature(logits: np.ndarray, ys: np.ndarray) -> float:
@@ -101,9 +104,10 @@ def _temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 
 
 def fit(train: DataFrame, per_class: int = 1000, l1: float = 0.002, l2: float = 0.01) -> dict | None:
-    """Learn from (text, lang); at most MAX_LANGS languages and about per_class texts of each."""
+    """Learn every language from (text, lang), each from about per_class distinct texts."""
+    spark = train.sparkSession
     train = train.select("text", "lang").where("lang is not null and text is not null")
-    counts = sorted((r["lang"], r["n"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    counts = sorted((r["lang"], r["n"]) for r in train.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
         return None
     df = {r["bucket"]: r["n"] for r in train.mapInPandas(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
@@ -111,12 +115,14 @@ def fit(train: DataFrame, per_class: int = 1000, l1: float = 0.002, l2: float =
     idf = np.zeros(1 << BITS)
     at = np.fromiter(df, np.int64, len(df))
     idf[at] = np.log((1 + docs) / (1 + np.fromiter(df.values(), np.float64, len(df)))) + 1
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_class / n))])
-    u = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    rows = train.where(u < share[F.col("lang")]).limit(4 * per_class * len(counts)).collect()
+    h = F.xxhash64("text", "lang")
+    rows = train.join(F.broadcast(spark.createDataFrame([(x, min(1.0, per_class / n)) for x, n in counts], "__lang string, __share double")), F.col("lang") == F.col("__lang"))
+    rows = rows.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.col("__share")).select("text", "lang").distinct()
+    rows = rows.orderBy(h, "text", "lang").limit(4 * per_class * len(counts)).collect()
     langs = [lang for lang, _ in counts]
     rows = sorted((r["text"], r["lang"]) for r in rows)
-    xs, ys = [_vector(t, idf) for t, _ in rows], np.array([langs.index(x) for _, x in rows])
+    at = {x: i for i, x in enumerate(langs)}
+    xs, ys = [_vector(t, idf) for t, _ in rows], np.array([at[x] for _, x in rows])
     if not xs:
         return None
     test = np.arange(len(xs)) % 5 == 4
@@ -132,7 +138,7 @@ def fit(train: DataFrame, per_class: int = 1000, l1: float = 0.002, l2: float =
 def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred and score; texts are read whole."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most 2^BITS x MAX_LANGS floats
+    sent = spark.sparkContext.broadcast(model)  # 2^BITS x languages floats
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
