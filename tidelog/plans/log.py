@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PUT, DELETE = "PUT", "DELETE"
-
+from tidelog.plans.shared import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+PUT, DELETE = "PUT", "DELETE"
 
 
 def key_of(letter: str, number: str, width: int) -> Column:

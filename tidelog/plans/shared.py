@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,20 +61,91 @@ class Files:
         fs.delete(p, True)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """spark.checkpoint.dir; a folder of our own only where the session names none and is a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for a while; names have __ for dots."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int):
+    """Rows that Python gets at once from now on, for rows that are large."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
+_scopes = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The job's shuffle files go when it ends. The table belongs to the innermost tidy() function, if there is one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidelog_path = path
+    for own in getattr(_scopes, "open", [])[-1:]:
+        own[path] = back
+    return back
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that written() made and no other DataFrame reads any more."""
+    for df in frames:
+        spark, path = df.sparkSession, getattr(df, "_tidelog_path", None)
+        if path:
+            for own in getattr(_scopes, "open", []):
+                own.pop(path, None)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(f):
+    """Write what f returns, and delete every other table that was written meanwhile, whether f ends well or not."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        scopes = _scopes.__dict__.setdefault("open", [])
+        scopes.append({})
+        kept = None
+        try:
+            out = f(*args, **named)
+            kept = out if hasattr(out, "_tidelog_path") else written(out, f.__name__)
+            return kept
+        finally:
+            own = scopes.pop()
+            if kept is not None:
+                own.pop(kept._tidelog_path, None)
+                for outer in scopes[-1:]:
+                    outer[kept._tidelog_path] = kept
+            drop(*own.values())
+
+    return run
 
 
 def _ranged(df: DataFrame, order: list) -> DataFrame:
