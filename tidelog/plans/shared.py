@@ -97,18 +97,27 @@ def small_batches(spark: SparkSession, rows: int):
 
 
 _scopes = threading.local()
+BUCKETS = 50_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The job's shuffle files go when it ends. The table belongs to the innermost tidy() function, if there is one."""
+    With `by`, rows of one value of that column lie together, in a bucket: a join or a cogroup on it then moves
+    the other side alone. The job's shuffle files go when it ends. The table belongs to the innermost tidy()
+    function, if there is one."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tidelog_path = path
+        put = df.write.option("compression", "zstd")
+        if by:
+            n = min(BUCKETS, max(1, df._jdf.queryExecution().toRdd().getNumPartitions()))
+            put.bucketBy(n, by).option("path", path).saveAsTable(own)
+        else:
+            put.parquet(path)
+    back = spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
+    back._tidelog_path, back._tidelog_table = path, own if by else None
     for own in getattr(_scopes, "open", [])[-1:]:
         own[path] = back
     return back
@@ -121,6 +130,8 @@ def drop(*frames: DataFrame) -> None:
         if path:
             for own in getattr(_scopes, "open", []):
                 own.pop(path, None)
+            if df._tidelog_table:
+                spark.sql(f"DROP TABLE IF EXISTS {df._tidelog_table}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
