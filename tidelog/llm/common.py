@@ -1,60 +1,31 @@
-"""Shared plumbing: shared-folder tables, column selection and distributed connected components."""
+"""Shared plumbing: tables in the shared folder, names, and distributed connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIR_KEY = "spark.checkpoint.dir"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a folder of our own only where the session names none (tests)."""
-    found = spark.conf.get(DIR_KEY, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set(DIR_KEY, found)
-    return found.rstrip("/")
-
+from tidelog.plans.shared import drop, shared_dir, small_batches, table, tidy, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tidelog_path = path
-    return back
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete tables made by written() that no returned DataFrame reads any more.
-
-    The collections let Spark's cleaner delete the shuffle files of jobs that are over; it acts on garbage only."""
-    for df in frames:
-        spark, path = df.sparkSession, getattr(df, "_tidelog_path", None)
-        if path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if frames:
-        gc.collect()
-        frames[0].sparkSession._jvm.System.gc()
+__all__ = ["Forest", "components", "drop", "free", "held_out", "partitions", "shared_dir", "small_batches", "table", "tidy", "whole", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened as far as needed to differ from all columns of df, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out():
     """crc32(doc_id as text) mod 3 is 1; a null doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -109,18 +80,21 @@ def _stars(batches):
     yield pd.DataFrame({"a": np.array([x for x, r in ids if x != r], "int64"), "b": np.array([r for x, r in ids if x != r], "int64")})
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star steps on the edge table, after contracting each partition's
-    edges with a local union-find; up to SMALL contracted edges are finished by one task. Hubs meet in joins that AQE can split, never in one group. Null ends
-    and loops are ignored; repeated edges change nothing; no edges give no rows.
+    edges with a local union-find; up to SMALL contracted edges are finished by one task. Hubs meet in joins
+    that AQE can split, never in one group. Null ends and loops are ignored; repeated edges change nothing; no
+    edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     cur = written(pairs.mapInPandas(_contract, "a long, b long").distinct(), "edges")
     state = None
     if cur.count() <= SMALL:
-        cur = written(cur.coalesce(1).mapInPandas(_stars, "a long, b long"), "edges")
+        old, cur = cur, written(cur.coalesce(1).mapInPandas(_stars, "a long, b long"), "edges")
+        drop(old)
         state = "done"
     while state != "done":
         now = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

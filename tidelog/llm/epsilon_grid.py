@@ -1,21 +1,25 @@
 """Operator 2, embedding near-dedup: an epsilon grid order join.
 
-Unit vectors at cosine c or more are within eps = sqrt(2 - 2c) of one another. Vectors are rotated to their
-principal axes (a covariance summed over all of them), sorted by the eps-wide grid cells of the LEADING axes,
-and cut into blocks of BLOCK consecutive vectors with their bounding boxes. The join recurses on intervals of
-that sequence: a pair of intervals whose boxes are further apart than eps is skipped, any other is replaced
-by the pairs of their FAN parts, level by level, as joins of small tables. Pairs of blocks that remain are
-halved once more in memory and compared by matrix products in single precision; whatever comes near the
-threshold is computed again in double precision.
-
-Equal vectors are one class, counted before the join. A tile of two blocks gives link counts and a spanning
-forest, never its pairs, so a third of all vectors in one class, or in one cluster, stays linear in output
-and within BLOCK^2 in memory. On isotropic data of many dimensions no ordering can prune much (eps is several
-standard deviations wide), and the work is quadratic, in blocks.
+Unit vectors at cosine c or more are within eps = sqrt(2 - 2c) of one another. Vectors are rotated to
+principal axes (of a bounded sample: SAMPLE vectors, AXES bytes at most; any rotation keeps distances, so the
+sample decides only how much is skipped), sorted by the eps-wide grid cells of the LEADING axes, and cut into
+blocks of BLOCK consecutive vectors with their bounding boxes. Consecutive blocks make a stretch, of up to
+STRETCH bytes. The join recurses on intervals of that sequence: a pair of intervals whose boxes are further
+apart than eps is skipped, any other is replaced by the pairs of their FAN parts, level by level, as joins of
+small tables, down to stretches. A pair of stretches that remains is a tile, and one task's: a block goes
+to each of its stretch's tiles, not to every block it may meet. In a tile the recursion goes on in memory, to
+blocks and their parts, and what remains is compared by matrix products in single precision; whatever comes
+near the threshold is computed again in double precision.
+
+Equal vectors are one class, counted before the join. A tile gives link counts and a spanning forest, never
+its pairs, so a third of all vectors in one class, or in one cluster, stays linear in output and within two
+stretches in memory. On isotropic data of many dimensions no ordering can prune much (eps is several standard
+deviations wide), and the work is quadratic, in blocks.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components links with nothing,
 as does one with a null vec_id; vectors of different lengths never link. Repeated rows are vectors of their
 own; rows that share a vec_id share its component. Extra columns are ignored; an empty table gives no rows.
+near_duplicates() leaves its tables to the tidy() function around it, as op2_epsilon_grid is.
 """
 
 from __future__ import annotations
@@ -26,53 +30,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, table, whole, written
+from .common import components, drop, small_batches, table, tidy, written
 
 LEADING, BLOCK, FAN, PART = 6, 1024, 4, 128
+SAMPLE, AXES = 4096, 16 << 20
+STRETCH = 16 << 20
+FEW = 100_000  # halves of tiles that may be broadcast: 3 MB
 MARGIN = 1e-4  # far over the rounding of a single-precision product of unit vectors
 BLOCKS = "at long, part int, seq int, dim int, lo array<double>, hi array<double>, keys binary, ids binary, copies binary, units binary"
 
 
 def _units(batches):
-    """key, id, dim and the unit vector as doubles; only vectors that can link."""
+    """key, id, dim and the unit vector as doubles; the latter two are null for vectors that can't link."""
     for pdf in batches:
         rows = []
         for i, e in zip(pdf["vec_id"], pdf["embedding"]):
-            if e is None or not len(e):
-                continue
-            x = np.array([np.nan if v is None else v for v in e] if getattr(e, "dtype", object) == object else e, np.float64)
-            top = np.abs(x).max()
-            if np.isfinite(top) and top > 0:
-                x = x / top  # so that squares neither overflow nor vanish
-                rows.append((i, len(x), x.tobytes(), (x / np.sqrt((x * x).sum())).tobytes()))
-        i, dim, raw, unit = zip(*rows) if rows else ((),) * 4
-        yield pd.DataFrame({"id": np.array(i, "int64"), "dim": np.array(dim, "int32"), "raw": list(raw), "unit": list(unit)})
-
-
-def _moments(batches):
-    """Sums of the components' products, by vector length, as (dim, place, value) rows."""
-    sums: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for dim, own in pdf.groupby("dim"):
-            x = np.frombuffer(b"".join(own["unit"]), np.float64).reshape(len(own), dim)
-            x = np.hstack([np.ones((len(x), 1)), x])
-            sums[dim] = sums.get(dim, 0) + x.T @ x
-    for dim, m in sums.items():
-        yield pd.DataFrame({"dim": dim, "place": np.arange(m.size), "value": m.ravel()})
-
-
-def axes(units: DataFrame, most: int = 4096) -> dict[int, np.ndarray]:
-    """The principal axes for the commonest length (of at most `most` components); other lengths keep their own."""
-    found = units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if found is None or found["dim"] > most:
+            own = None, None, None
+            if e is not None and len(e) and not pd.isna(i):
+                x = np.array([np.nan if v is None else v for v in e] if getattr(e, "dtype", object) == object else e, np.float64)
+                top = np.abs(x).max()
+                if np.isfinite(top) and top > 0:
+                    x = x / top  # so that squares neither overflow nor vanish
+                    own = len(x), x.tobytes(), (x / np.sqrt((x * x).sum())).tobytes()
+            rows.append((i, *own))
+        yield pd.DataFrame(rows, columns=["id", "dim", "raw", "unit"]).astype({"id": "Int64", "dim": "Int32"})
+
+
+def axes(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Principal axes for the commonest length, from the SAMPLE vectors of least hash; other lengths keep their own."""
+    found = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    if found is None or found["dim"] ** 2 * 8 > AXES:
         return {}
     dim = found["dim"]
-    sums = units.where(F.col("dim") == dim).mapInPandas(_moments, "dim int, place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    m = np.zeros((dim + 1) ** 2)
-    for r in sums.toLocalIterator():
-        m[r["place"]] = r["value"]
-    m = m.reshape(dim + 1, -1) / max(m[0], 1)
-    return {dim: np.linalg.eigh(m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]))[1][:, ::-1].copy()}
+    rows = classes.where(F.col("dim") == dim).select("unit").orderBy(F.xxhash64("key"), "key", "unit").limit(min(SAMPLE, AXES // (8 * dim))).collect()
+    x = np.frombuffer(b"".join(r["unit"] for r in rows), np.float64).reshape(-1, dim)
+    x = x - x.mean(0)
+    return {dim: np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()}
 
 
 def _cells(turn: dict[int, np.ndarray], eps: float):
@@ -106,8 +99,12 @@ def _pack(most: int):
         rest = None
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            while len(rest) > most or (len(rest) and rest["dim"].iloc[0] != rest["dim"].iloc[-1]):
-                n = min(most, int((rest["dim"] == rest["dim"].iloc[0]).sum()))
+            while len(rest):
+                dim = int(rest["dim"].iloc[0])
+                same, n = int((rest["dim"] == dim).sum()), max(1, min(most, STRETCH // (16 * dim)))
+                if same == len(rest) and same <= n:
+                    break
+                n = min(n, same)
                 yield block(rest.iloc[:n])
                 rest = rest.iloc[n:]
         if rest is not None and len(rest):
@@ -131,26 +128,26 @@ def _prune(eps: float):
     return run
 
 
-def _merge(batches):
-    """Boxes of FAN neighbours become their parent's; a parent of mixed lengths has dim 0 and is never skipped."""
-    for pdf in batches:
-        rows = []
-        for at, own in pdf.groupby("at"):
-            dims = set(own["dim"])
-            if len(dims) == 1 and 0 not in dims:
-                rows.append((at, dims.pop(), np.min(np.stack(own["lo"]), 0), np.max(np.stack(own["hi"]), 0)))
-            else:
-                rows.append((at, 0, np.zeros(0), np.zeros(0)))
-        yield pd.DataFrame(rows, columns=["at", "dim", "lo", "hi"])
-
-
-def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """The pairs x <= y of block numbers that are not provably further apart than eps."""
-    spark = blocks.sparkSession
-    levels, n = [blocks.select("at", "dim", "lo", "hi")], blocks.count()
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Boxes of neighbours become their parent's; a parent of mixed lengths has dim 0 and is never skipped."""
+    dims = set(pdf["dim"])
+    if len(dims) == 1 and 0 not in dims:
+        box = dims.pop(), np.min(np.stack(pdf["lo"]), 0), np.max(np.stack(pdf["hi"]), 0)
+    else:
+        box = 0, np.zeros(0), np.zeros(0)
+    return pd.DataFrame([(pdf["at"].iloc[0], *box)], columns=["at", "dim", "lo", "hi"])
+
+
+def _parents(level: DataFrame, fan: int) -> DataFrame:
+    up = level.withColumn("at", F.floor(F.col("at") / fan).cast("long"))
+    return written(up.groupBy("at").applyInPandas(_merge, "at long, dim int, lo array<double>, hi array<double>"), "intervals")
+
+
+def interval_pairs(boxes: DataFrame, n: int, eps: float) -> DataFrame:
+    """The pairs x <= y of the n numbers in boxes (at, dim, lo, hi) that are not provably further apart than eps."""
+    spark, levels = boxes.sparkSession, [boxes]
     while n > FAN:
-        up = levels[-1].withColumn("at", F.floor(F.col("at") / FAN).cast("long"))
-        levels.append(written(up.repartition("at").sortWithinPartitions("at").mapInPandas(whole("at", _merge), "at long, dim int, lo array<double>, hi array<double>"), "intervals"))
+        levels.append(_parents(levels[-1], FAN))
         n = -(-n // FAN)
     pairs = spark.range(n).select(F.col("id").alias("x"), F.explode(F.sequence("id", F.lit(n - 1))).alias("y")) if n else spark.createDataFrame([], "x long, y long")
     for k in reversed(range(len(levels))):
@@ -196,51 +193,95 @@ def forest(m: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.concatenate([np.stack([rows[r], x], 1), np.stack([cols[c], y], 1)])
 
 
+class _Side:
+    """A block of a tile."""
+
+    def __init__(self, r):
+        self.keys, self.ids, self.copies = (np.frombuffer(v, np.int64) for v in (r.keys, r.ids, r.copies))
+        self.units = np.frombuffer(r.units, np.float64).reshape(len(self.keys), -1)
+        self.lo, self.hi = self.units.min(0), self.units.max(0)
+        self.links = np.zeros(len(self.keys), np.int64)
+
+
 def _tile(least: float, eps: float, part: int):
+    """Link counts (key, n) and a spanning forest (a, b) of every tile, from its blocks in order, one after another."""
+
+    def pairs_of(x, y, one, two):
+        edges = []
+        for i, p in enumerate(one):
+            for q in one[i:] if x == y else two:
+                if p.units.shape[1] != q.units.shape[1] or apart(p.lo, p.hi, q.lo, q.hi) > eps * eps * (1 + 1e-9):
+                    continue
+                m = linked(p.units, q.units, least, eps, part)
+                if p is q:
+                    np.fill_diagonal(m, False)
+                if m.any():
+                    p.links += m @ q.copies
+                    if p is not q:
+                        q.links += p.copies @ m
+                    edges.append(forest(m, p.ids, q.ids))
+        e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        e = e[e[:, 0] != e[:, 1]]
+        keys = np.concatenate([np.zeros(0, np.int64), *(b.keys[b.links > 0] for b in (*one, *two))])
+        n = np.concatenate([np.zeros(0, np.int64), *(b.links[b.links > 0] for b in (*one, *two))])
+        none = np.zeros(len(e), np.int64)
+        return pd.DataFrame({"key": np.concatenate([keys, none]), "n": np.concatenate([n, none]), "a": np.concatenate([0 * keys, e[:, 0]]), "b": np.concatenate([0 * keys, e[:, 1]])})
+
     def run(batches):
+        tile, one, two = None, [], []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                k1, i1, n1 = (np.frombuffer(v, np.int64) for v in (r.keys1, r.ids1, r.copies1))
-                k2, i2, n2 = (np.frombuffer(v, np.int64) for v in (r.keys2, r.ids2, r.copies2))
-                a = np.frombuffer(r.units1, np.float64).reshape(len(k1), -1)
-                same = r.x == r.y
-                m = linked(a, a if same else np.frombuffer(r.units2, np.float64).reshape(len(k2), -1), least, eps, part)
-                if same:
-                    np.fill_diagonal(m, False)
-                one, two = m @ n2, np.zeros(0, np.int64) if same else n1 @ m
-                e = forest(m, i1, i2)
-                e = e[e[:, 0] != e[:, 1]]
-                keys = np.concatenate([k1[one > 0], k2[two > 0] if not same else k2[:0]])
-                yield pd.DataFrame({"key": pd.array(np.concatenate([keys, np.zeros(len(e), np.int64)])), "n": np.concatenate([one[one > 0], two[two > 0], np.zeros(len(e), np.int64)]), "a": np.concatenate([np.zeros(len(keys), np.int64), e[:, 0]]), "b": np.concatenate([np.zeros(len(keys), np.int64), e[:, 1]])})
+                if tile is not None and tile != (r.x, r.y):
+                    yield pairs_of(*tile, one, two)
+                    one, two = [], []
+                tile = r.x, r.y
+                (one if r.stretch == r.x else two).append(_Side(r))
+        if tile is not None:
+            yield pairs_of(*tile, one, two)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, part: int = PART) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
-    eps = float(np.sqrt(2 - 2 * least))
+def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, part: int = PART, span: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of (vec_id, embedding); span: blocks of a stretch."""
+    spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * least))
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    units = vectors.where("vec_id is not null").mapInPandas(_units, "id long, dim int, raw binary, unit binary").withColumn("key", F.xxhash64("raw"))
-    units = written(units.drop("raw"), "units")
-    classes = units.groupBy("key", "dim", "unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    turned = classes.mapInPandas(_cells(axes(units), eps), f"key long, id long, copies long, dim int, cells array<int>, unit binary")
+    rows = vectors.mapInPandas(_units, "id long, dim int, raw binary, unit binary").withColumn("key", F.when(F.col("raw").isNotNull(), F.xxhash64("raw")))
+    rows = written(rows.drop("raw"), "units")
+    classes = rows.where("unit is not null").groupBy("key", "dim", "unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes, "vectors")
+    rows, units = written(rows.select("id", "key"), "rows"), rows
+    drop(units)
+    turned = classes.mapInPandas(_cells(axes(classes), eps), "key long, id long, copies long, dim int, cells array<int>, unit binary")
     order = ["dim", "cells", "id", "key"]
     packed = written(turned.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_pack(block), BLOCKS.removeprefix("at long, ")), "blocks")
+    classes, wide = written(classes.select("key", "id", "copies"), "classes"), classes
+    drop(wide)
     per = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition written
     per = per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    blocks = packed.join(per, "part").withColumn("at", F.col("first") + F.col("seq"))
-    pairs = block_pairs(written(blocks.select("at", "dim", "lo", "hi"), "boxes"), eps)
-    sides = [blocks.select(F.col("at").alias(c), *[F.col(v).alias(f"{v}{i}") for v in ("keys", "ids", "copies", "units")]) for i, c in ((1, "x"), (2, "y"))]
-    tiles = pairs.join(sides[0], "x").join(sides[1], "y").repartition("x", "y")
-    found = written(tiles.mapInPandas(_tile(least, eps, part), "key long, n long, a long, b long"), "tiles")
+    blocks = packed.join(F.broadcast(per), "part").withColumn("at", F.col("first") + F.col("seq"))  # a row a task
+    size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("units")).alias("bytes")).first()
+    if span is None:  # enough tiles for all cores, and no more copies of a block than that needs
+        wanted = int(np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism)))
+        span = max(1, min(size["n"] // wanted, int(STRETCH * size["n"] / (size["bytes"] or 1))))
+    boxes = written(blocks.select("at", "dim", "lo", "hi"), "boxes")
+    tiles = interval_pairs(_parents(boxes, span) if span > 1 else boxes, -(-size["n"] // span), eps)
+    halves = tiles.select(F.col("x").alias("stretch"), "x", "y").union(tiles.where("x <> y").select(F.col("y").alias("stretch"), "x", "y"))
+    halves = F.broadcast(halves) if halves.count() <= FEW else halves
+    sent = blocks.withColumn("stretch", F.floor(F.col("at") / span).cast("long")).join(halves, "stretch")
+    sent = sent.select("x", "y", "stretch", "at", "keys", "ids", "copies", "units")
+    with small_batches(spark, 4):
+        found = written(sent.repartition("x", "y").sortWithinPartitions("x", "y", "at").mapInPandas(_tile(least, eps, part), "key long, n long, a long, b long"), "links")
+    drop(packed)
     counts = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("others"))
-    comps = components(found.where("n = 0").select("a", "b").union(units.join(classes.where("copies > 1").select("key", F.col("id").alias("first")), "key").select("id", "first")))
-    own = units.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    rows = units.select("id", "key").join(own.join(counts, "key", "left"), "key").select("id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rest = vectors.select(F.col("vec_id").alias("id")).exceptAll(units.select("id")).select("id", F.lit(0).cast("long").alias("n_links"))
-    out = rows.union(rest).join(comps, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    several = classes.where("copies > 1")
+    comps = components(found.where("n = 0").select("a", "b").union(rows.join(several.select("key", F.col("id").alias("first")), "key").select("id", "first")))
+    own = classes.groupBy("key").agg(F.sum("copies").alias("copies")).join(counts, "key", "left")
+    of = own.where("copies > 1 or others > 0").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.join(of, "key", "left").join(comps, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@tidy
 def op2_epsilon_grid(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
