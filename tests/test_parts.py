@@ -71,3 +71,65 @@ def test_streaming_state(spark, tmp_path):
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     ingest.latest_state(log).writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("state").collect())) == [("a", "PUT", "2"), ("b", "DELETE", None)]
+
+
+def test_tidy_leaves_what_is_returned(spark):
+    import os
+
+    from tidelog.plans import shared
+
+    @shared.tidy
+    def inner(df):
+        shared.written(df, "waste")
+        return shared.written(df, "inner")
+
+    @shared.tidy
+    def outer(df):
+        back = inner(df)
+        return shared.written(back.repartition(3, "id"), "outer", "id").where("id < 5")
+
+    @shared.tidy
+    def fails(df):
+        shared.written(df, "waste")
+        raise RuntimeError
+
+    root = shared.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(root))
+    out = outer(spark.range(10))
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4]
+    try:
+        fails(spark.range(3))
+    except RuntimeError:
+        pass
+    assert len(set(os.listdir(root)) - before) == 1 and not any(t.name.startswith("outer_") for t in spark.catalog.listTables())
+    shared.drop(out)
+    assert set(os.listdir(root)) == before
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    import pytest
+
+    from tidelog.plans import shared
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
+
+
+def test_runs_of_json_lines_end_at_a_bad_one(spark):
+    lines = ['{"key":"a","value":"1"}', '{"key":"b","value":null}', '{"key":"c"', '{"key":"d","value":"2"}']
+    rows = [(r, k, x) for r, own in (("x", lines), ("y", lines[:2]), ("z", lines[2:])) for k, x in enumerate(own)]
+    got = codec.parse_run(spark.createDataFrame(rows, "run string, line_no int, line string"), "run").collect()
+    assert sorted((r["run"], r["key"], r["value"]) for r in got) == [("x", "a", "1"), ("x", "b", None), ("y", "a", "1"), ("y", "b", None)]
+
+
+def test_scan_replay(spark):
+    lines = ["PUT a 1", "PUT c 2", "SCAN a z a,c", "DELETE a", "SCAN a z c", "SCAN a z a, c", "SCAN z a NOT_FOUND", "PUT a 3", "PUT b NOT_FOUND", "SCAN a c a,b", "SCAN d e d", "SCAN c d c"]
+    got = trace.replay_scans(trace.parse(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string"))).orderBy("line_no").collect()
+    assert [(r["line_no"], r["actual"], r["ok"]) for r in got] == [(2, "a,c", True), (4, "c", True), (5, "c", False), (6, "", False), (9, "a,b", True), (10, "", False), (11, "c", True)]

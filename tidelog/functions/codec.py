@@ -32,6 +32,17 @@ def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
     return good.select(*[c for c in lines.columns if c != line], F.col("__j.operation").alias("op"), "__j.key", "__j.value")
 
 
+RUN_SCHEMA = "key string, value string"
+
+
+def parse_run(lines: DataFrame, run: str, at: str = "line_no", line: str = "line") -> DataFrame:
+    """lines of sorted runs with key, value; a run ends at its first malformed line, as a reader of one stops there."""
+    parsed = lines.withColumn("__j", F.from_json(line, RUN_SCHEMA, {"mode": "PERMISSIVE"}))
+    first = parsed.groupBy(run).agg(F.min(F.when(F.col("__j.key").isNull(), F.col(at))).alias("__end"))
+    good = parsed.join(first, run).where(F.col("__end").isNull() | (F.col(at) < F.col("__end")))
+    return good.select(*[c for c in lines.columns if c != line], F.col("__j.key").alias("key"), F.col("__j.value").alias("value"))
+
+
 def stem(name: str) -> Column:
     """A file name without what follows its first dot."""
     return F.substring_index(name, ".", 1)

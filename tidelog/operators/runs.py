@@ -34,7 +34,8 @@ def files_of(keys: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def overlapping(files: DataFrame) -> DataFrame:
-    """Neighbours (file, next_file) of a level whose ranges overlap; a sound level has none."""
+    """Neighbours (file, next_file) by least key whose ranges overlap. A sound level has none, and any unsound one has some,
+    but this is no list of all pairs: a file may also meet others behind its neighbour."""
     pairs = ranked(files, F.col("min_key"), F.col("max_key"), F.col("file"))
     after = pairs.select((F.col("rn") - 1).alias("rn"), F.col("file").alias("next_file"), F.col("min_key").alias("next_min"))
     return pairs.join(after, "rn").where("next_min <= max_key").select("file", "next_file")

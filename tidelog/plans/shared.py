@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ class Files:
 
     def __init__(self, spark: SparkSession, root: str):
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._none = spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
         self.root = root.rstrip("/")
 
     def _at(self, name: str):
@@ -39,6 +41,23 @@ class Files:
         finally:
             stream.close()
 
+    def claim(self, name: str) -> bool:
+        """Create an empty file; False if it is there already. One of several callers gets True.
+
+        The store decides: creation is exclusive on local disks, HDFS and stores with conditional writes; on a
+        store without them two callers within one request's time may both get True."""
+        fs, p = self._at(name)
+        try:
+            if fs.getScheme() == "file":
+                self._jvm.java.nio.file.Files.createFile(self._jvm.java.io.File(p.toUri().getPath()).toPath(), self._none)
+            else:
+                fs.create(p, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
     def publish(self, name: str, text: str) -> bool:
         """Write under another name, then rename; False if the name is taken."""
         temp = f".{uuid.uuid4().hex}.tmp"
@@ -56,6 +75,10 @@ class Files:
             return False
         return True
 
+    def size(self, name: str) -> int:
+        fs, p = self._at(name)
+        return fs.getContentSummary(p).getLength()
+
     def delete(self, name: str) -> None:
         fs, p = self._at(name)
         fs.delete(p, True)

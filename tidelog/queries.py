@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.engine import Engine
@@ -297,6 +298,63 @@ def trace_scan_keys(spark, sf_dir):
     return trace.parse(trace_lines(spark, sf_dir)).where("method = 'SCAN'").select("line_no", F.explode(trace.expected_keys()).alias("key"))
 
 
+def narrow_lines(spark, sf_dir):
+    """As trace_lines, with scans of a few keys, some of which expect what they find."""
+    key = lambda n: F.concat(F.lit("u"), F.lpad(n.cast("string"), 6, "0"))
+    user = F.col("user_id")
+    scan = F.concat(F.lit("SCAN "), key(user), F.lit(" "), key(user + 4), F.lit(" "), key(user), F.when(user % 3 == 0, F.concat(F.lit(","), key(user + 2))).otherwise(""))
+    own = logs.table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("line_no"), scan.alias("line"))
+    return trace_lines(spark, sf_dir).where("line not like 'SCAN %'").union(own)
+
+
+@query(f"""{TRACE}, S AS (SELECT event_id AS line_no, 'u'||lpad(CAST(user_id AS VARCHAR),6,'0') AS lo, 'u'||lpad(CAST(user_id+4 AS VARCHAR),6,'0') AS hi,
+'u'||lpad(CAST(user_id AS VARCHAR),6,'0')||CASE WHEN user_id%3=0 THEN ',u'||lpad(CAST(user_id+2 AS VARCHAR),6,'0') ELSE '' END AS expected FROM events WHERE event_type='signup'),
+V AS (SELECT key, method, line_no, lead(line_no) OVER (PARTITION BY key ORDER BY line_no) AS until FROM T WHERE method IN ('PUT','DELETE')),
+A AS (SELECT S.line_no, string_agg(V.key, ',' ORDER BY V.key) AS actual FROM S JOIN V ON V.key>=lo AND V.key<hi AND V.method='PUT' AND V.line_no<S.line_no AND (until IS NULL OR until>S.line_no) GROUP BY S.line_no)
+SELECT S.line_no, expected, coalesce(actual,'') AS actual, coalesce(actual,'')=expected AS ok FROM S LEFT JOIN A USING (line_no)""")
+def trace_scan_replay(spark, sf_dir):
+    return trace.replay_scans(trace.parse(narrow_lines(spark, sf_dir)))
+
+
+@query(f"{TRACE} SELECT line_no, method, 200 AS status FROM T WHERE method IN ('PUT','DELETE')")
+def trace_write_status(spark, sf_dir):
+    return trace.replay_writes(trace.parse(trace_lines(spark, sf_dir)))
+
+
+@query(f"{L}{RUNS}, J AS (SELECT run, key, value, row_number() OVER (PARTITION BY run ORDER BY key) AS q, l FROM (SELECT *, octet_length(encode(key))%7 AS l FROM RUNS)) SELECT run, key, value FROM J WHERE q<=50")
+def run_lines_end_at_bad(spark, sf_dir):
+    """A run of JSON lines, of which the 51st is torn, is read up to that line."""
+    rows = flush_runs(spark, sf_dir).withColumn("line_no", F.row_number().over(Window.partitionBy("run").orderBy("key")))
+    line = F.when(F.col("line_no") == 51, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line"))
+    return codec.parse_run(rows.select("run", "line_no", codec.run_line().alias("line")).withColumn("line", line), "run").select("run", "key", "value")
+
+
+@query(f"{L}, H AS (SELECT *, CASE WHEN rn<=(SELECT max(rn)/2 FROM L) THEN 1 ELSE 2 END AS pos FROM L) SELECT 0 AS level, pos, min(key) AS min_key, max(key) AS max_key, count(DISTINCT key) AS n FROM H GROUP BY pos")
+def engine_manifest(spark, sf_dir):
+    """The rows of the manifest after two flushes, by run."""
+    engine = _fresh(spark)
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
+    for part in (log.where(F.col("pos") <= half), log.where(F.col("pos") > half)):
+        engine.append(part)
+        engine.flush()
+    rows = manifest.frame(spark, engine.manifest)
+    return rows.groupBy("level", "pos").agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.sum("n").alias("n"))
+
+
+@query(f"{L} SELECT p.key, value, {STATUS} FROM PROBES p LEFT JOIN LIVE USING (key)")
+def engine_multi_get(spark, sf_dir):
+    """A batch lookup over a settled level under a log."""
+    engine = _fresh(spark)
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
+    engine.append(log.where(F.col("pos") <= half))
+    engine.flush()
+    engine.compact(0)
+    engine.append(log.where(F.col("pos") > half))
+    return engine.multi_get(probes(spark, sf_dir))
+
+
 def _fresh(spark, **options) -> Engine:
     return Engine.open(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", **options)
 
@@ -307,7 +365,8 @@ def stream_latest_state(spark, sf_dir):
     engine = _fresh(spark)
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    ingest.into(engine, logs.log_events(events), "events", f"{engine.path}/.stream").awaitTermination()
+    ingest.into(engine, logs.log_events(events), "events", f"{engine.path}-stream").awaitTermination()
+    engine.vacuum()
     return engine.live()
 
 

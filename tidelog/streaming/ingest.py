@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,22 @@ from tidelog.engine import Engine
 
 
 def into(engine: Engine, log: DataFrame, name: str, checkpoint: str, **trigger) -> object:
-    """Start a query that turns each micro-batch of a streaming log into a run, exactly once."""
+    """Start a query that turns each micro-batch of a streaming log into a run, exactly once.
+
+    Batch ids are those of the checkpoint, so they are kept by its id: with a new checkpoint, which counts anew, the
+    stream is a new one. The checkpoint must not lie in the engine's folder."""
+    if checkpoint.rstrip("/").startswith(engine.path + "/"):
+        raise ValueError("keep a stream's checkpoint outside the table")
+    began, query = threading.Event(), []
+
+    def step(batch: DataFrame, i: int) -> None:
+        began.wait()
+        engine.ingest(batch, f"{name}/{query[0].id}", i)
+
     writer = log.writeStream.queryName(name).option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, i: engine.ingest(batch, name, i)).trigger(**(trigger or {"availableNow": True})).start()
+    query.append(writer.foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start())
+    began.set()
+    return query[0]
 
 
 def latest_state(log: DataFrame) -> DataFrame:
