@@ -4,15 +4,18 @@ A source's documents are repeated so that the source's share of the mixture, in
 weight. The mean repetition rate of a source is weight x budget / characters; a document's count inverts the
 Poisson distribution of that mean at a uniform number taken from a seeded hash of the document, so counts
 need no state and are the same in every run. Documents are exploded by count and shuffled globally by a
-hash of (document, copy, seed).
+hash of (document, copy, seed): the hash is uniform, so its leading digits are the partition and no sampling
+pass is needed, and partitions are sorted by it.
 
 Only built-in expressions run. Sources are pre-aggregated to one row each; that row carries the
 distribution's steps, and the join back is by source, which Spark broadcasts or, for a hot source, splits.
 
 Defined results: a null source is a source of its own; null and empty texts count as no characters and are
 mixed at their source's rate (a source of no characters has rate 0). Rows with equal doc_id and text get the
-same count. A null doc_id hashes as the text "null". Sources that `weights` does not name get none; without
-weights, a source weighs the square root of its characters. Extra columns stay; an empty table gives no rows.
+same count, as do rows of equal doc_id and source whose texts differ. A null doc_id hashes as the text "null".
+Sources that `weights` does not name get none; without weights, a source weighs the square root of its
+characters. Rows of equal mix_order (repeated doc_ids) are in order of their text's hash. Extra columns stay,
+whatever their names, but for ones named mix_copy or mix_order, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free, partitions, table, written
 
 SEED = 17
 EPOCHS = 1.0  # the mixture's characters, times those of the input
@@ -65,14 +68,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float) -> D
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """The columns of docs, then mix_copy (from 1) and mix_order (the global order's key), in that order."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("mix_copy", "mix_order")])
+    key, whole, steps, count, part = free(docs, "key", "whole", "steps", "count", "part")
     u = uniform(F.lit(seed), F.lit("count"), F.col("doc_id"))
-    by = rates(docs, weights, epochs).withColumnsRenamed({c: f"__{c}" for c in ("source_key", "rate", "whole", "steps")})
+    by = rates(docs, weights, epochs).select(F.col("source_key").alias(key), F.col("whole").alias(whole), F.col("steps").alias(steps))
     by = written(by, "rates")
     by = F.broadcast(by) if by.count() <= FEW else by
-    counted = docs.join(by, F.coalesce(F.col("source").cast("string"), F.lit("\0")) == F.col("__source_key")).withColumn("__count", F.col("__whole") + F.size(F.filter("__steps", lambda s: s <= u)))
-    copies = counted.where("__count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__count"))))
+    counted = docs.join(by, F.coalesce(F.col("source").cast("string"), F.lit("\0")) == F.col(key)).withColumn(count, F.col(whole) + F.size(F.filter(steps, lambda s: s <= u)))
+    copies = counted.where(F.col(count) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    return copies.select(*[docs[c] for c in docs.columns if c not in ("mix_copy", "mix_order")], "mix_copy", order.alias("mix_order")).orderBy("mix_order")
+    n = partitions(docs.sparkSession)
+    at = F.floor(F.conv(F.substring("mix_order", 1, 7), 16, 10).cast("double") * n / float(1 << 28)).cast("int")
+    out = copies.select(*docs.columns, "mix_copy", order.alias("mix_order")).withColumn(part, at)
+    return out.repartitionById(n, part).drop(part).sortWithinPartitions("mix_order", F.xxhash64("text"))
 
 
 def op1_poisson_mix(spark, sf_dir: str) -> DataFrame:
@@ -108,5 +116,5 @@ OP1_WHOLE_SQL = f"WITH m AS ({OP1_SQL}), one AS (SELECT DISTINCT * FROM m) SELEC
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the mixture's weights, in its order; the columns of documents."""
+    """Documents repeated to the mixture's weights, stored in its order; the columns of documents. See mix() for odd rows."""
     return mix(docs.select("doc_id", "text", "lang", "source", "n_chars")).drop("mix_copy", "mix_order")
