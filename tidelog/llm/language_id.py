@@ -6,17 +6,21 @@ document. A temperature fitted on a fifth of the sample calibrates the scores.
 
 Defined results: a null text or one without a letter gives `und` with score 0; so does every text when
 there is nothing to learn from. Null languages are never learned from. Repeated rows get a row each; extra
-columns are ignored; an empty table gives no rows. Ties between languages go to the first in name order.
+columns are ignored, whatever their names; an empty table gives no rows. Ties between languages go to the first
+in name order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import held_out, table
+from .common import free, held_out, table
 
 BITS = 15
 MANY = 256  # languages from which weights are single precision
@@ -136,16 +140,15 @@ def fit(train: DataFrame, per_class: int = 1000, l1: float = 0.002, l2: float =
 
 
 def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred and score; texts are read whole."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # 2^BITS x languages floats
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    """The columns `keep` with lang_pred and score; texts are read whole. Only they go to Python, and no text comes back."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS x languages floats
 
-    def run(batches):
+    @pandas_udf("lang_pred string, score double")
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in batches:
+        for texts in batches:
             langs, scores = [], []
-            for t in pdf["__text"]:
+            for t in texts:
                 if m is None or not t or not any(map(str.isalpha, t)):
                     langs.append(UND)
                     scores.append(0.0)
@@ -156,9 +159,11 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
                 k = int(s.argmax())
                 langs.append(m["langs"][k])
                 scores.append(float(s[k] / s.sum()))
-            yield pdf.drop(columns="__text").assign(lang_pred=langs, score=scores)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+    (answer,) = free(docs, "answer")
+    out = docs.withColumn(answer, said.asNondeterministic()("text"))  # else a filter on it would ask twice
+    return out.select(*keep, f"{answer}.lang_pred", f"{answer}.score")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
