@@ -16,6 +16,8 @@ What keeps it whole and linear under skew:
   is first confirmed against a few hubs, chunk by chunk; then members outside its largest component meet
   every chunk, or, where they are many, tiles cover all pairs of chunks. No node, bucket or group is capped.
 
+Shingles are equal here if their 64-bit hashes are.
+
 Defined results: a null, empty or blank text has an empty set and links with nothing (it is its own
 component); a text with fewer words than the width is one shingle. Rows that share a doc_id share a vertex:
 links of either are links of both. A null doc_id links with nothing, has a null component and is kept. Extra
@@ -30,10 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop, table, whole, written
+from .common import Forest, components, drop, small_batches, table, tidy, whole, written
 
 TREES, BRANCHES, COORDS, LEAF, DEEPEST = 5, 2, 128, 256, 6
 STRAY, GROUP, HUBS = 1024, 512, 16
+TEXTS = 1000  # texts or full sets that Python gets at once
 FEW = 50_000  # large nodes that may be broadcast: 3 MB
 FAR = 34  # differing bits of 128 that a pair at similarity 0.8 exceeds with probability under 1e-6
 U = np.uint64
@@ -212,9 +215,10 @@ def links_within(ids: list[int], labels: list[int], active: np.ndarray, sets: li
         f.up.setdefault(x, x)
     for x, y in zip(ids, labels):
         f.join(x, y)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(every, kind="stable")
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(every)
     every, owner = every[order], owner[order]
+    del order
     left = len({f.find(x) for x in ids})
     for k in np.argsort(~active, kind="stable").tolist():
         if left == 1 or not active[k]:
@@ -334,7 +338,8 @@ def large_nodes(members: DataFrame, large: DataFrame, percent: int, sigs: DataFr
 def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(described rows: doc_id, n, f1, f2; components over class representatives: id, component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(docs.mapInPandas(_describe(width), "doc_id long, n int, f1 long, f2 long, sig binary, s1 long, s2 long"), "described")
+    with small_batches(docs.sparkSession, TEXTS):
+        described = written(docs.mapInPandas(_describe(width), "doc_id long, n int, f1 long, f2 long, sig binary, s1 long, s2 long"), "described")
     reps = described.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     reps = written(reps.select("id", "n", "s1", "s2", F.col("id").alias("label"), "sig"), "classes")
     members = reps.mapInPandas(_plant, ROW)
@@ -348,12 +353,14 @@ def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     for x in found[1:]:
         proposed = proposed.union(x)
     proposed = written(proposed.distinct(), "proposed")
-    groups = written(components(proposed), "labels")
-    links = confirm(proposed, sets_of(docs, groups.select("id"), width), groups, percent)
-    drop(proposed, reps)
+    drop(reps)
+    groups = components(proposed)
+    with small_batches(docs.sparkSession, TEXTS):
+        links = confirm(proposed, sets_of(docs, groups.select("id"), width), groups, percent)
     return described, components(links)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id)."""
     described, comps = similar_classes(docs, width, percent)
@@ -378,7 +385,9 @@ def op4_minhash_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on five-word shingles at 0.8; the columns of documents."""
+    """One document of each group of near copies, on five-word shingles at 0.8; the columns of documents.
+
+    Of a doc_id that stays, all rows stay; so do rows of a null doc_id, and null and empty texts."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     whole = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return whole.join(gone, whole["doc_id"] == gone["gone_id"], "left_anti")
