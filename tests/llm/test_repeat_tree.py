@@ -69,3 +69,34 @@ def test_intervals_are_the_maximal_groups():
 
 def test_empty(spark):
     assert op.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed,hot,local", [(5, 4096, 1), (6, 2, 1), (7, 1, 2)])
+def test_crowded_grams_against_brute_force(spark, seed, hot, local):
+    rows = corpus(seed)
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 7)))
+    common = "one passage that stands in a third of all documents, each time before and after other words"
+    rows += [(5000 + k, f"{word()} {word()}{common}{word()} {word()} " + " " * r.randint(0, 90) + word()) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, op.deduplicate(df, hot=hot, block=6000, local=local).collect()), key=str) == brute(rows)
+
+
+def test_units_are_not_shuffled(spark):
+    texts = op.units(spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string").repartition(3), 100)
+    said = spark.createDataFrame([], "part long, unit long, kind int, data binary")
+    both = texts.groupBy("part").cogroup(said.groupBy("part")).applyInPandas(op._cut(False), op.OUT)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
+    assert "Exchange" not in left and plan.count("Exchange hashpartitioning") == 1 and both.count() == 50
+    op.drop(texts)
+
+
+def test_a_very_long_text(spark):
+    r = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(400)]
+    long = " ".join(words[k] for k in r.integers(0, 400, 700_000))
+    rows = [(1, long), (2, "x" + long[1_000_000:3_000_000] + "y")]
+    got = {x["doc_id"]: x for x in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["n_bytes"] == len(long)
+    assert got[2]["n_spans"] == 1 and got[2]["n_removed"] == 2_000_000
