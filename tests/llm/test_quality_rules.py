@@ -34,3 +34,72 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(4, 0), (2, None), (7, 1)], "doc_id long, quality int")
     assert {round(r["score"], 6) for r in op.score(docs, op.fit(docs, one), ["doc_id"]).collect()} == {round(1 / 3, 6)}
     assert op.score(docs.limit(0), op.fit(docs.limit(0), labels), ["doc_id"]).count() == 0
+
+
+def test_statistics_against_plain_code():
+    import math
+    import random
+
+    def plain(t):
+        t = t or ""
+        n = lambda f: sum(1 for c in t if f(c))
+        over = lambda a, b: a / b if b else 0.0
+        words, lines = t.split(), t.split("\n")
+        w = len(words)
+        return (math.log(1 + len(t)), over(n(str.isalpha), len(t)), over(n(str.isupper), n(str.isalpha)), over(n(lambda c: c in "0123456789"), len(t)), over(n(lambda c: c in "#$%&*@^~<>{}[]\\_+="), w), over(t.count("|"), w), over(t.count("!") + t.count("?"), w), over(n(lambda c: c in ".,;:"), w), over(len(t) - w, w), over(len({*words}), w), over(len({*lines}), len(lines)), over(w, len(lines)))
+
+    r = random.Random(4)
+    for text in [None, "", " ", "\n", *("".join(r.choice("aBé ñ1|!?.,#_ \n\t日😀ǅ²") for _ in range(r.randrange(200))) for _ in range(300))]:
+        assert np.allclose(op.measure(text), plain(text), rtol=0, atol=1e-12), text
+
+
+def test_a_tree_splits_where_the_gain_is_greatest(monkeypatch):
+    """One tree, against sums over every row for every threshold of every statistic that it may look at."""
+    monkeypatch.setattr(op, "TREES", 1)
+    monkeypatch.setattr(op, "BINS", 8)
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        x = np.round(r.random((120, 5)), 1)
+        y = (r.random(120) < 0.2 + 0.6 * (x[:, seed] > 0.5)).astype(float)
+        rules = set(op.grow(x, y))
+        dice = np.random.default_rng(op.SEED)
+        p = y.mean()
+        g, h = y - 1 / (1 + np.exp(-np.log((p + 1e-9) / (1 - p + 1e-9)))), p * (1 - p) + 1e-6
+        work, want = [(sorted(dice.choice(120, 60, replace=False)), ())], set()
+        while work:
+            own, path = work.pop()
+            best, found = 1e-3, None
+            gain = lambda rows: sum(g[i] for i in rows) ** 2 / (len(rows) * h + 1)
+            if len(path) < op.DEPTH and len(own) >= 20:
+                for j in sorted(dice.choice(5, 3, replace=False)):
+                    for cut in sorted(set(np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1]))):
+                        sides = [[i for i in own if x[i, j] <= cut], [i for i in own if x[i, j] > cut]]
+                        value = gain(sides[0]) + gain(sides[1]) - gain(own)
+                        if value > best + 1e-12:
+                            best, found = value, (int(j), float(cut), sides)
+            if found:
+                for over in (False, True):
+                    step = tuple(sorted({*path, (found[0], over, found[1])}))
+                    want.add(step)
+                    work.append((found[2][over], step))
+        assert rules == want and rules
+
+
+def test_lasso_is_at_its_optimum():
+    r = np.random.default_rng(1)
+    m = (r.random((400, 30)) < 0.4).astype(np.float32)
+    y = (r.random(400) < 1 / (1 + np.exp(-(2 * m[:, 0] - 3 * m[:, 1])))).astype(float)
+    for penalty in (0.02, 0.005):
+        w, b = op.lasso(m, y, penalty, steps=4000)
+        e = (1 / (1 + np.exp(-(m @ w + b))) - y) / len(y)
+        slope = m.T @ e
+        assert abs(e.sum()) < 1e-3 and (np.abs(slope[w == 0]) <= penalty + 1e-3).all()
+        assert np.abs(slope[w != 0] + penalty * np.sign(w[w != 0])).max() < 1e-3
+        assert 2 <= (w != 0).sum() < 30
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "A text.", 5.0, 1, 2, "z")], "doc_id long, text string, log_chars double, stats int, value int, `__text` string")
+    keep = [c for c in docs.columns if c != "text"]
+    model = {"bias": 0.0, "rules": [(1.0, ((0, True, 100.0),))]}
+    assert [tuple(r) for r in op.score(docs, model, keep).collect()] == [(1, 5.0, 1, 2, "z", 0.5, 1)]

@@ -1,14 +1,15 @@
 """Operator 7, quality classifier: a sparse rule ensemble.
 
-Statistics of whole texts become columns, in one pass over Arrow batches. Boosted shallow trees are grown on a bounded sample of labelled
-rows (about SAMPLE of them, taken by a hash); every path from a root to a node is a rule, a conjunction of
-thresholds. A logistic regression with an L1 penalty weighs the rules, most of them to zero, and the rest
-are compiled into one Spark column expression over the statistics.
+Statistics of whole texts become a column, in one pass over Arrow batches. Boosted shallow trees are grown on a
+bounded sample of labelled rows (about SAMPLE of them, taken by a hash); every path from a root to a node is a
+rule, a conjunction of thresholds. A logistic regression with an L1 penalty weighs the rules, most of them to
+zero, and the rest are compiled into one Spark column expression over the statistics.
 
 Defined results: null and empty texts have all statistics 0 and are scored by them. Without labels every
 score is 0.5; with labels of one class only it is their smoothed mean. Null labels are not learned from;
-a document with several labels counts once for each. Repeated rows get a row each; extra columns are
-ignored; an empty table gives no rows.
+a document with several labels counts once for each. Repeated rows get a row each; extra columns are ignored,
+whatever their names; an empty table gives no rows. Of equally good splits of a tree the first statistic's and
+the least threshold is taken; documents of equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ import functools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, table
+from .common import free, held_out, table
 
 SAMPLE, TREES, DEPTH, BINS, RATE, SEED = 20_000, 40, 3, 32, 0.3, 11
 
@@ -57,18 +61,9 @@ def measure(text: str | None) -> tuple[float, ...]:
     return (math.log1p(n), share(letters, n), share(upper, letters), share(digits, n), share(symbols, w), share(bars, w), share(shouts, w), share(stops, w), share(n - w, w), share(len(set(words)), w), share(len(set(lines)), len(lines)), share(w, len(lines)))
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep`, then NAMES."""
-    schema = docs.select(*keep).schema
-    for name in NAMES:
-        schema = schema.add(name, "double")
-
-    def run(batches):
-        for pdf in batches:
-            values = np.array([measure(t) for t in pdf["__text"]], float).reshape(len(pdf), len(NAMES))
-            yield pdf.drop(columns="__text").assign(**dict(zip(NAMES, values.T)))
-
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+@pandas_udf(StructType([StructField(n, DoubleType()) for n in NAMES]))
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t) for t in texts], columns=NAMES, dtype=float)
 
 
 def _sigmoid(z):
@@ -158,15 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     u = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) / float(1 << 30)
     some = labels.where(u < min(1.0, sample / max(n, 1))).limit(2 * sample)  # at most 2 x sample rows of 12 bytes
     labelled = docs.join(F.broadcast(some), docs["doc_id"] == F.col("label_id"))
-    rows = sorted((*r[1:], r[0]) for r in statistics(labelled, ["quality"]).limit(4 * sample).collect())
+    rows = sorted((*r[1], r[0]) for r in labelled.select("quality", _measured("text")).limit(4 * sample).collect())
     return fit_rows(np.array([r[:-1] for r in rows], float).reshape(len(rows), len(NAMES)), np.array([r[-1] for r in rows], float))
 
 
-def compiled(model: dict) -> Column:
-    """The model as one column over the statistics."""
-    z = F.lit(model["bias"])
+def compiled(model: dict, of: str = "") -> Column:
+    """The model as one column over the statistics; of: the struct's name and a dot."""
+    z, col = F.lit(model["bias"]), [F.col(of + n) for n in NAMES]
     for weight, rule in model["rules"]:
-        terms = [F.col(NAMES[j]) > cut if over else F.col(NAMES[j]) <= cut for j, over, cut in rule]
+        terms = [col[j] > cut if over else col[j] <= cut for j, over, cut in rule]
         every = terms[0]
         for t in terms[1:]:
             every = every & t
@@ -175,7 +170,10 @@ def compiled(model: dict) -> Column:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    return statistics(docs, keep).withColumn("score", compiled(model)).select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """The columns `keep` with score and predicted. Only texts go to Python, and only statistics come back."""
+    stats, value = free(docs, "stats", "value")
+    out = docs.withColumn(stats, _measured.asNondeterministic()("text")).withColumn(value, compiled(model, f"{stats}."))
+    return out.select(*keep, F.col(value).alias("score"), (F.col(value) >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
