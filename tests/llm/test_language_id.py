@@ -53,3 +53,64 @@ def test_every_language_is_learnt_and_samples_repeat(spark):
     assert (models[0]["w"] == models[1]["w"]).all()
     got = op.predict(docs.where("text not like 'copy%'"), models[0], ["lang"]).collect()
     assert np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.9
+
+
+def test_grams_and_frequencies_against_plain_code():
+    import collections
+
+    import pandas as pd
+
+    word = (1 << 32) - 1
+
+    def plain(text):
+        c = [ord(x) if ord(x) >= 128 or x.isalpha() else 32 for x in text.lower()]
+        c = [x for k, x in enumerate(c) if x != 32 or k and c[k - 1] != 32]
+        out = [x * 2654435761 for x in c]
+        out += [(a * 2246822519 & word ^ b) * 3266489917 for a, b in zip(c, c[1:])]
+        out += [((a * 668265263 & word ^ b) * 374761393 & word ^ d) * 2654435761 for a, b, d in zip(c, c[1:], c[2:])]
+        return collections.Counter((x & word) >> (32 - op.BITS) for x in out)
+
+    r = random.Random(9)
+    texts = ["", "a", " ", "Ab", *("".join(r.choice("abcé ñ1.,\n日İ😀") for _ in range(r.randrange(80))) for _ in range(120))]
+    for t in texts:
+        at, n = op._grams(t)
+        assert dict(zip(at.tolist(), n.tolist())) == plain(t), t
+    total = collections.Counter(b for t in texts if t for b in plain(t))
+    total[-1] = sum(map(bool, texts))
+    got = list(op._document_frequency([pd.DataFrame({"text": texts[:50]}), pd.DataFrame({"text": texts[50:]})]))[0]
+    assert dict(zip(got["bucket"].tolist(), got["n"].tolist())) == total
+
+
+def test_ftrl_against_one_weight_at_a_time():
+    r = np.random.default_rng(3)
+    xs = [(np.sort(r.choice(12, 4, replace=False)), r.random(4)) for _ in range(30)]
+    ys, l1, l2, alpha, beta = r.integers(0, 3, 30), 0.05, 0.1, 0.5, 1.0
+    z, n = {}, {}
+
+    def weight(i, c):
+        a = z.get((i, c), 0.0)
+        return 0.0 if abs(a) <= l1 else (np.sign(a) * l1 - a) / ((beta + n.get((i, c), 0.0) ** 0.5) / alpha + l2)
+
+    for e in range(3):
+        for k in np.random.default_rng(e).permutation(30):
+            at, v = xs[k]
+            w = {(i, c): weight(i, c) for i in at for c in range(3)}
+            s = [sum(x * w[i, c] for i, x in zip(at, v)) for c in range(3)]
+            p = np.exp(s) / np.exp(s).sum()
+            for i, x in zip(at, v):
+                for c in range(3):
+                    g = x * (p[c] - (ys[k] == c))
+                    step = ((n.get((i, c), 0) + g * g) ** 0.5 - n.get((i, c), 0) ** 0.5) / alpha
+                    z[i, c] = z.get((i, c), 0) + g - step * w[i, c]
+                    n[i, c] = n.get((i, c), 0) + g * g
+    got = op.ftrl(xs, ys, 3, l1, l2, alpha, beta)
+    assert np.abs(got[:12] - [[weight(i, c) for c in range(3)] for i in range(12)]).max() < 1e-9 and not got[12:].any()
+
+
+def test_ties_and_names_that_clash(spark):
+    docs = spark.createDataFrame([("same words here", x) for x in ("b", "a")] * 30, "text string, lang string")
+    model = op.fit(docs)
+    assert model["langs"] == ["a", "b"]
+    model["w"][:] = 0
+    odd = docs.selectExpr("text", "lang as `__text`", "lang as answer", "1 as score_").limit(3)
+    assert {(r["lang_pred"], r["score"]) for r in op.predict(odd, model, ["__text", "answer"]).collect()} == {("a", 0.5)}

@@ -61,3 +61,23 @@ def test_large_rates_stay_poisson(spark):
         steps = [0.0, *r["steps"]]
         variance = sum((k - middle) ** 2 * (b - a) for k, a, b in zip(ks, steps, steps[1:]))
         assert abs(middle / mean - 1) < 1e-6 and abs(variance / mean - 1) < 1e-5
+
+
+def test_names_that_clash_and_ties(spark):
+    rows = [(d, "t" * (d % 5), "s", d, 1, 2, 3, "c", "o") for d in range(300)] + [(7, "other text", "s", 1, 1, 2, 3, "c", "o")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `__steps` int, `key` int, whole int, part int, MIX_COPY string, mix_order string").repartition(5)
+    one, two = op.mix(docs, epochs=3.0), op.mix(docs.repartition(2), epochs=3.0)
+    assert one.columns == ["doc_id", "text", "source", "__steps", "key", "whole", "part", "mix_copy", "mix_order"]
+    got = [tuple(r) for r in one.collect()]
+    assert got == [tuple(r) for r in two.collect()] and len(got) > 600  # repeated rows are equal, so the order is whole
+    assert [r[-1] for r in got] == sorted(r[-1] for r in got)
+
+
+def test_sql_of_the_queries(spark):
+    data = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    df = QUERIES["op1_poisson_mix"](spark, data)
+    cur = db.execute(SQL["op1_poisson_mix"])
+    assert [d[0] for d in cur.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
