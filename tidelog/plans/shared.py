@@ -123,12 +123,12 @@ _scopes = threading.local()
 BUCKETS = 50_000
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
     With `by`, rows of one value of that column lie together, in a bucket: a join or a cogroup on it then moves
     the other side alone. The job's shuffle files go when it ends. The table belongs to the innermost tidy()
-    function, if there is one."""
+    function, if there is one; with `keep`, to the user, who deletes it."""
     spark = df.sparkSession
     own = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{own}"
@@ -141,7 +141,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
             put.parquet(path)
     back = spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
     back._tidelog_path, back._tidelog_table = path, own if by else None
-    for own in getattr(_scopes, "open", [])[-1:]:
+    for own in [] if keep else getattr(_scopes, "open", [])[-1:]:
         own[path] = back
     return back
 
