@@ -1,13 +1,20 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. run() writes each result
-as Parquet in the shared folder and rereads it, so a lost executor costs no more than a stage's tasks.
+as Parquet in the shared folder and rereads it, so a lost executor costs no more than a stage's tasks; when it
+ends, only its result and the token files stay there.
+
+Defined results: documents with a null or empty text, or one without letters, go in the first stage, as their
+language isn't known. Rows that share a doc_id stay or go together in the second stage, by the group of any of
+them; a null doc_id stays. Repeated rows are decided alike and mixed alike. The mixture is stored in its global
+order, and the token files hold it in that order: a row of the result is a copy of a document, start is its place.
+Extra columns are dropped, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from tidelog.llm import decontaminate, language_id, minhash_join, poisson_mix, token_file
-from tidelog.llm.common import drop, table, written
+from tidelog.llm.common import drop, table, tidy, written
 
 STAGES = [
     ("language_id", language_id.stage),
@@ -21,6 +28,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
