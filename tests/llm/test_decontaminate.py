@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidelog.llm import decontaminate as op
 
@@ -100,3 +101,41 @@ def test_scripts_without_spaces_and_short_items(spark):
     got = op.contaminated(df, bench).collect()
     assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(d, i) for d, _, own in docs for i in own]
     assert sorted(x["doc_id"] for x in op.clean(df, bench).collect()) == [d for d, _, own in docs if not own]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 50])
+def test_long_texts_repeats_and_extra_columns(spark, monkeypatch, block):
+    """As one index, and with seeds as a table."""
+    monkeypatch.setattr(op, "BLOCK", block)
+    item = " ".join(f"alpha{i}" for i in range(25))
+    long = "filler words of no interest " * 60_000
+    rows = [(1, long + item + " " + long), (2, long), (3, None), (4, ""), (None, item), (5, item), (5, item), (6, "Forty two!")]
+    bench = spark.createDataFrame([(1, item), (2, item), (None, "forty two"), (3, None), (4, "")], "item_id long, text string")
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], "doc_id long, text string, rid int, k int, item_id string").repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["score"], r["first_word"], r["last_word"]) for r in op.contaminated(df, bench).collect())
+    places = {"1": 300_000, "None": 0, "5": 0}
+    assert got == sorted([(d, i, 1.0, places[d], places[d] + 24) for d in ("1", "None", "5", "5") for i in "12"] + [("6", "None", 1.0, 0, 1)])
+    kept = op.clean(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert op.clean(df.limit(0), bench).count() == 0 and op.clean(df, bench.limit(0)).count() == len(rows)
+
+
+def test_many_seeds_as_a_table_equal_one_index(spark, monkeypatch):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    items = [(i % 25, " ".join(r.choice(vocab) for _ in range(r.choice([2, 4, 6, 30, 120])))) for i in range(40)]
+    docs = []
+    for d in range(200):
+        w = [r.choice(vocab) for _ in range(r.randrange(60))]
+        if d % 2:
+            own = r.choice(items)[1].split()
+            k = r.randrange(len(own))
+            own[k : k + r.randrange(2)] = ["edit"] * r.randrange(2)
+            w = own if d % 7 == 0 else w[:20] + own + w[20:]
+        docs.append((d % 180, " ".join(w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted((x["doc_id"], x["item_id"], round(x["score"], 9)) for x in rows)
+    one, left = key(op.contaminated(df, bench).collect()), sorted(map(tuple, op.clean(df, bench).collect()))
+    monkeypatch.setattr(op, "BLOCK", 50)
+    assert key(op.contaminated(df, bench).collect()) == one and len(one) > 40
+    assert sorted(map(tuple, op.clean(df, bench).collect())) == left

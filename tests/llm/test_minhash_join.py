@@ -72,3 +72,9 @@ def test_large_nodes_and_tiles(spark, monkeypatch, stray, small, group, hubs):
 
 def test_empty_table(spark):
     assert got(spark, [], 2) == []
+
+
+def test_a_very_long_text(spark):
+    words = [f"v{i}" for i in range(250_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[20_000:])), (3, " ".join(words[:100_000])), (4, "v1 v2 v3")]
+    assert got(spark, rows, 5) == [(1, 249_996, 1), (2, 229_996, 1), (3, 99_996, 3), (4, 1, 4)]

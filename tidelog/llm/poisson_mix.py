@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, partitions, table, written
+from .common import free, partitions, table, tidy, written
 
 SEED = 17
 EPOCHS = 1.0  # the mixture's characters, times those of the input
@@ -66,13 +66,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float) -> D
     return per.select("source_key", "rate", "whole", F.aggregate(F.sequence(F.lit(1), top), first, step)["steps"].alias("steps"))
 
 
+@tidy
+def _steps(docs: DataFrame, weights: dict[str, float] | None, epochs: float, names: list[str]) -> DataFrame:
+    """A stored row for each source: its key, whole and steps, under these names."""
+    return written(rates(docs, weights, epochs).select(*[F.col(c).alias(n) for c, n in zip(("source_key", "whole", "steps"), names)]), "rates")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """The columns of docs, then mix_copy (from 1) and mix_order (the global order's key), in that order."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("mix_copy", "mix_order")])
     key, whole, steps, count, part = free(docs, "key", "whole", "steps", "count", "part")
     u = uniform(F.lit(seed), F.lit("count"), F.col("doc_id"))
-    by = rates(docs, weights, epochs).select(F.col("source_key").alias(key), F.col("whole").alias(whole), F.col("steps").alias(steps))
-    by = written(by, "rates")
+    by = _steps(docs, weights, epochs, [key, whole, steps])
     by = F.broadcast(by) if by.count() <= FEW else by
     counted = docs.join(by, F.coalesce(F.col("source").cast("string"), F.lit("\0")) == F.col(key)).withColumn(count, F.col(whole) + F.size(F.filter(steps, lambda s: s <= u)))
     copies = counted.where(F.col(count) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))

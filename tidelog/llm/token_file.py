@@ -452,7 +452,7 @@ def token_file(docs: DataFrame, vocabulary_path: str | None = None, stored: bool
 
         vocabulary_path = public_tokenizers.path("byte_bpe_50k.json")
     with small_batches(docs.sparkSession, 500):
-        files = written(shards(docs, str(vocabulary_path), stored=stored), "shards")
+        files = written(shards(docs, str(vocabulary_path), stored=stored), "shards", keep=True)  # the product
     with small_batches(docs.sparkSession, 1):
         return written(read_back(files), "token_file")
 
