@@ -64,3 +64,46 @@ def test_against_brute_force(spark, monkeypatch, leaf, block):
 
 def test_empty(spark):
     assert op.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketches_agree_as_sets_do():
+    """A bin of two sets' sketches is equal with probability their similarity, whatever their size."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for n in (5, 30, 200, 1500):
+        rate = []
+        for _ in range(40):
+            h = r.integers(0, 1 << 32, n + n // 5, dtype=np.uint32)
+            a, b = h[: n + n // 10], np.concatenate([h[: n - n // 10], h[n + n // 10 :]])
+            both = op.sketch(np.concatenate([a, b, b[::-1]]), np.repeat([0, 1, 2], [len(a), len(b), len(b)]), 3)
+            assert (both[1] == both[2]).all()
+            rate.append((both[0] == both[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+        assert abs(np.mean(rate)) < 0.03
+
+
+def test_recall_of_bands():
+    r = random.Random(3)
+    lines = []
+    for _ in range(600):
+        x = [r.choice("abcdefgh ") for _ in range(r.choice([60, 150, 400]))]
+        y = list(x)
+        while len(sets("".join(x)) & sets("".join(y))) > 0.82 * len(sets("".join(x)) | sets("".join(y))):
+            y[r.randrange(len(y))] = r.choice("xyz")
+        if len(sets("".join(x)) & sets("".join(y))) >= 0.8 * len(sets("".join(x)) | sets("".join(y))):
+            lines += ["".join(x), "".join(y)]
+    keys = op.bands(lines)
+    shared = [len({*a.tolist()} & {*b.tolist()}) for a, b in zip(keys[::2], keys[1::2])]
+    assert len(shared) > 200 and sum(n > 0 for n in shared) >= 0.995 * len(shared)
+    far = [len({*a.tolist()} & {*b.tolist()}) for a, b in zip(keys[:-2], keys[2:])]
+    assert sum(far[::2]) <= 2
+    n, s1, s2 = next(op.described([lines[0]]))
+    assert n == len(op.shingles(lines[0]))
+
+
+def test_a_very_long_line_and_a_very_common_one(spark):
+    r = random.Random(1)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2_000_000))
+    rows = [(1, long + "\nsame line in all of them"), (2, long[:-50_000]), (3, long[: 1_000_000])] + [(10 + k, "same line in all of them\nsame line in all of them!") for k in range(200)]
+    got = {x["doc_id"]: x["n_removed"] for x in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, **{10 + k: 2 for k in range(200)}}
