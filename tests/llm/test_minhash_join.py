@@ -78,3 +78,12 @@ def test_a_very_long_text(spark):
     words = [f"v{i}" for i in range(250_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[20_000:])), (3, " ".join(words[:100_000])), (4, "v1 v2 v3")]
     assert got(spark, rows, 5) == [(1, 249_996, 1), (2, 229_996, 1), (3, 99_996, 3), (4, 1, 4)]
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(k % 700, str(k), k) for k in range(1000)] + [(None, "x", 1)], "doc_id long, text string, gone int").repartition(3)
+    ids = spark.createDataFrame([(k,) for k in range(0, 700, 3)], "id long")
+    want = sorted([(k % 700, str(k), k) for k in range(1000) if k % 700 % 3] + [(None, "x", 1)], key=str)
+    for few in (None, 10):
+        out = op.without(docs, ids, few)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == want

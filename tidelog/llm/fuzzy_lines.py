@@ -350,9 +350,8 @@ def _describe(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in LINE.split(", ")])
 
 
-def _sets(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t).tobytes() for t in pdf["text"]]})
+def _read(line: bytes) -> np.ndarray:
+    return shingles(line.decode("utf-8", "surrogatepass"))
 
 
 def line_components(reps: DataFrame, percent: int) -> DataFrame:
@@ -368,8 +367,9 @@ def line_components(reps: DataFrame, percent: int) -> DataFrame:
             found = found.union(x)
     proposed = written(found.distinct(), "proposed")
     groups = components(proposed)
-    sets = reps.join(groups.select("id"), "id", "left_semi").select("id", "text").mapInPandas(_sets, "id long, s binary")
-    return components(confirm(proposed, sets, groups, percent))
+    texts = reps.select("id", F.col("text").cast("binary").alias("s"))  # an eighth of the sets' bytes
+    with small_batches(reps.sparkSession, 2000):
+        return components(confirm(texts, groups, percent, _read))
 
 
 OUT = "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"

@@ -31,11 +31,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import Forest, components, drop, small_batches, table, tidy, whole, written
+from .common import Forest, components, drop, free, small_batches, table, tidy, whole, written
 
 TREES, BRANCHES, COORDS, LEAF, DEEPEST = 5, 2, 128, 256, 6
 STRAY, GROUP, HUBS = 1024, 512, 16
+IDS = 1 << 19  # ids that may be broadcast: 8 MB, or 12 with their group's size
 TEXTS = 1000  # texts or full sets that Python gets at once
 FEW = 50_000  # large nodes that may be broadcast: 3 MB
 FAR = 34  # differing bits of 128 that a pair at similarity 0.8 exceeds with probability under 1e-6
@@ -184,28 +186,56 @@ def _small(members: DataFrame, percent: int) -> DataFrame:
     return members.select(*[c.split()[0] for c in ROW.split(", ")]).repartition("node").sortWithinPartitions("node").mapInPandas(_compare(percent), "a long, b long").distinct()
 
 
+def _bitmap(ids: DataFrame, n: int):
+    """A broadcast bitmap of these n ids, of 16 MB at most, and a column's place in it."""
+    bits = 1 << min(27, max(15, int(16 * n).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = np.zeros(bits // 8, np.uint8)
+    for r in ids.select((slot("id") / 32768).cast("int").alias("k"), (slot("id") % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
+        marks[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(marks), slot
+
+
+def _marked(marks: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (marks[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, s): the full sets of the documents with these ids, made anew from whole texts.
 
-    A fixed-size bitmap of the ids (16 MB at most) spares other texts the work; the join that follows decides.
+    A bitmap of the ids spares other texts the work; the join that follows decides.
     """
-    spark = docs.sparkSession
-    bits = 1 << min(27, max(15, int(16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    marks = np.zeros(bits // 8, np.uint8)
-    for r in ids.select((slot / 32768).cast("int").alias("k"), (slot % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
-        marks[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
-    sent = spark.sparkContext.broadcast(marks)
+    sent, slot = _bitmap(ids, ids.count())
 
     def run(batches):
-        m = sent.value
         for pdf in batches:
-            p = pdf["slot"].to_numpy()
-            pdf = pdf[(m[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+            pdf = pdf[_marked(sent.value, pdf["slot"].to_numpy())]
             yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, width).tobytes() for t in pdf["text"]]})
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return named.select("id", "text", slot.alias("slot")).mapInPandas(run, "id long, s binary")
+    return named.select("id", "text", slot("id").alias("slot")).mapInPandas(run, "id long, s binary")
+
+
+def without(docs: DataFrame, ids: DataFrame, few: int | None = None) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (id, distinct).
+
+    Up to `few` ids are broadcast. Beyond that a bitmap of them lets most other rows by, and only rows that it marks
+    are joined, so that the texts of what stays are hardly shuffled."""
+    ids, few = written(ids, "gone"), IDS if few is None else few
+    n = ids.count()
+    gone, slot = free(docs, "gone", "slot")
+    named = ids.select(F.col("id").alias(gone))
+    if n <= few:
+        return docs.join(F.broadcast(named), F.col("doc_id") == F.col(gone), "left_anti")
+    sent, at = _bitmap(ids, n)
+
+    @pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        return pd.Series(_marked(sent.value, p.to_numpy()))
+
+    docs = docs.withColumn(slot, maybe(at(F.col("doc_id").cast("long"))))
+    rest = docs.where(F.col(slot)).join(named, F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.where(~F.col(slot)).union(rest).drop(slot)
 
 
 def links_within(ids: list[int], labels: list[int], active: np.ndarray, sets: list[np.ndarray], percent: int):
@@ -233,15 +263,19 @@ def links_within(ids: list[int], labels: list[int], active: np.ndarray, sets: li
                 yield ids[k], ids[j]
 
 
-def _judge(rows: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) within each grp of (grp, id, label, active, s)."""
+def _stored(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64)
+
+
+def _judge(rows: DataFrame, percent: int, read=_stored) -> DataFrame:
+    """Confirmed links (a, b) within each grp of (grp, id, label, active, s); read gives a row's set from s."""
 
     def run(batches):
         for pdf in batches:
             found, grp = [], pdf["grp"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
             ids, labels, active = pdf["id"].tolist(), pdf["label"].tolist(), pdf["active"].to_numpy(bool)
-            sets = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+            sets = [read(x) for x in pdf["s"]]
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a > 1:
                     found += links_within(ids[a:b], labels[a:b], active[a:b], sets[a:b], percent)
@@ -259,22 +293,26 @@ def _in_chunks(rows: DataFrame, everywhere: Column) -> DataFrame:
     return rows.withColumn("grp", F.xxhash64("grp", "chunk"))
 
 
-def confirm(proposed: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) that connect exactly what the confirmed pairs among each group of proposals connect."""
+def confirm(sets: DataFrame, groups: DataFrame, percent: int, read=_stored) -> DataFrame:
+    """The links (a, b) that connect exactly what the confirmed pairs among each group of proposals connect.
+
+    sets: id, s, from which read makes the full set."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = groups.join(sizes, "component").join(sets, "id").select(F.col("component").alias("grp"), "id", "size", F.col("id").alias("label"), "s")
+    sized = written(groups.join(sizes, "component"), "sized")
+    sized = F.broadcast(sized) if sized.count() <= IDS else sized
+    rows = sets.join(sized, "id").select(F.col("component").alias("grp"), "id", "size", F.col("id").alias("label"), "s")
     rows = written(rows, "groups")
-    links = _judge(rows.where(F.col("size") <= GROUP).withColumn("active", F.lit(True)), percent)
+    links = _judge(rows.where(F.col("size") <= GROUP).withColumn("active", F.lit(True)), percent, read)
     big = rows.where(F.col("size") > GROUP)
     if big.limit(1).count():
         hub = F.pmod(F.xxhash64("id", "grp"), F.ceil(F.col("size") / HUBS).cast("long")) == 0
-        first = written(_judge(_in_chunks(big, hub), percent), "links")
+        first = written(_judge(_in_chunks(big, hub), percent, read), "links")
         big = _labelled(big, components(first))
         counts = big.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("label", "n").alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
         big = written(big.join(counts.where("most < all"), "grp"), "groups")
         strays = F.col("all") - F.col("most")
-        second = _judge(_in_chunks(big.where(strays <= STRAY), F.col("label") != F.col("lead")), percent)
-        third = _judge(_in_tiles(big.where(strays > STRAY).withColumnRenamed("grp", "node")).withColumnRenamed("node", "grp").withColumn("active", F.lit(True)), percent)
+        second = _judge(_in_chunks(big.where(strays <= STRAY), F.col("label") != F.col("lead")), percent, read)
+        third = _judge(_in_tiles(big.where(strays > STRAY).withColumnRenamed("grp", "node")).withColumnRenamed("node", "grp").withColumn("active", F.lit(True)), percent, read)
         links = links.union(first).union(second).union(third)
     return written(links, "links")
 
@@ -356,7 +394,7 @@ def similar_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFram
     drop(reps)
     groups = components(proposed)
     with small_batches(docs.sparkSession, TEXTS):
-        links = confirm(proposed, sets_of(docs, groups.select("id"), width), groups, percent)
+        links = confirm(sets_of(docs, groups.select("id"), width), groups, percent)
     return described, components(links)
 
 
@@ -365,6 +403,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id)."""
     described, comps = similar_classes(docs, width, percent)
     copies = described.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
+    copies = written(copies, "copies")  # apart from the join, so that a hot class's part of it is split
     # Rows of one class, and rows that share a doc_id, meet in the components of (row's doc_id, class).
     kin = described.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2").join(copies, ["n", "f1", "f2"]).select("doc_id", "id")
     rows = described.select("doc_id", "n").withColumnRenamed("n", "n_shingles")
@@ -388,6 +427,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, on five-word shingles at 0.8; the columns of documents.
 
     Of a doc_id that stays, all rows stay; so do rows of a null doc_id, and null and empty texts."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    whole = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return whole.join(gone, whole["doc_id"] == gone["gone_id"], "left_anti")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return without(docs, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
