@@ -46,7 +46,7 @@ LENGTH, GRAM, LONGER, HOT, LOCAL = 50, 16, 32, 4096, 16
 LEFT = LENGTH - GRAM  # the bytes before a picked gram that a string may have
 SLICE = 1 << 18  # strings whose numbers are in memory at once, about 60 bytes each
 BLOCK = 4 << 20  # of text, unpacked at once
-UNIT = 4  # blocks
+UNIT = 2  # blocks
 BUCKET = 8 << 20  # bytes of hashes a bucket gets, about
 NULL = -(1 << 63)
 U = np.uint64
@@ -198,6 +198,7 @@ class Leaves:
             b.pick()
             rows.append((b.at + at, b.left, b.right, b.ids[b.doc], b.h, b.c))
         self.at, self.left, self.right, self.doc, self.h, self.c = (np.concatenate(v) for v in zip(*rows))
+        del rows, b
         order = np.lexsort((self.doc, self.c, self.h))
         for k in ("at", "left", "right", "doc", "h", "c"):
             setattr(self, k, getattr(self, k)[order])
