@@ -37,7 +37,7 @@ from .common import Forest, components, drop, free, small_batches, table, tidy,
 
 TREES, BRANCHES, COORDS, LEAF, DEEPEST = 5, 2, 128, 256, 6
 STRAY, GROUP, HUBS = 1024, 512, 16
-IDS = 1 << 19  # ids that may be broadcast: 8 MB, or 12 with their group's size
+IDS = 1 << 19  # ids that may be broadcast: up to 50 MB as Spark holds them, with their groups
 TEXTS = 1000  # texts or full sets that Python gets at once
 FEW = 50_000  # large nodes that may be broadcast: 3 MB
 FAR = 34  # differing bits of 128 that a pair at similarity 0.8 exceeds with probability under 1e-6
