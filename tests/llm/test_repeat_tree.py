@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidelog.llm import repeat_tree as op
@@ -100,3 +102,37 @@ def test_a_very_long_text(spark):
     got = {x["doc_id"]: x for x in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["n_removed"] == 0 and got[1]["n_bytes"] == len(long)
     assert got[2]["n_spans"] == 1 and got[2]["n_removed"] == 2_000_000
+
+
+def test_units_come_one_at_a_time(spark, monkeypatch):
+    texts = op.units(spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string").repartition(3), 100)
+    said = spark.createDataFrame([tuple(r) for r in texts.select("part", "unit").collect()], "part long, unit long")
+    seen, cut = [], op.written
+    monkeypatch.setattr(op, "written", lambda df, *a: (seen.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *a))[1])
+    got = op.each_unit(texts, said, lambda key, rows, own: pd.DataFrame({"n": [len(rows)], "own": [len(own)]}), "n long, own long", "sizes").collect()
+    assert len(got) == texts.count() > 3 and {tuple(r) for r in got} == {(1, 1)}
+    left = seen[0][seen[0].index("FileScan") - 400 : seen[0].index("FileScan")]
+    assert "Exchange" not in left and seen[0].count("Exchange hashpartitioning") == 1
+    op.drop(texts)
+
+
+def test_a_bucket_takes_little_memory():
+    """A bucket whose every leaf is sent, as in a large corpus, is solved a part of its grams at a time."""
+    r, rows, n, units = np.random.default_rng(4), [], 4000, 60
+    text = r.integers(97, 101, (n, op.LEFT + op.LENGTH), np.uint8)
+    for unit in range(units):
+        near = text.copy()
+        near[np.arange(n), r.integers(0, 20, n)] = 32  # contexts differ, grams don't
+        h = np.arange(n, dtype=np.uint64) * 7919
+        x = op.Leaves.__new__(op.Leaves)
+        x.h, x.doc, x.at = h, np.full(n, unit), np.arange(n) * 84 + op.LEFT
+        x.left, x.right = np.full(n, op.LEFT, np.uint8), np.full(n, op.LENGTH, np.uint8)
+        rows.append((0, 0, unit, n, op._payload(x, np.append(near.ravel(), np.zeros(84, np.uint8)), np.arange(n))))
+    pdf = pd.DataFrame(rows, columns=["bucket", "part", "unit", "n", "data"])
+    tracemalloc.start()
+    try:
+        (out,) = op._buckets(iter([pdf]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(out["unit"]) == list(range(1, units)) and peak < 100e6

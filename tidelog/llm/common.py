@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.plans.shared import drop, shared_dir, small_batches, table, tidy, written
+from tidelog.plans.shared import drop, settings, shared_dir, small_batches, table, tidy, written
 
-__all__ = ["Forest", "components", "drop", "free", "held_out", "partitions", "shared_dir", "small_batches", "table", "tidy", "whole", "written"]
+__all__ = ["Forest", "components", "drop", "free", "held_out", "partitions", "settings", "shared_dir", "small_batches", "table", "tidy", "whole", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

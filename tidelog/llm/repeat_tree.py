@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, table, tidy, whole, written
+from .common import drop, settings, small_batches, table, tidy, whole, written
 
 LENGTH, GRAM, LONGER, HOT, LOCAL = 50, 16, 32, 4096, 16
 LEFT = LENGTH - GRAM  # the bytes before a picked gram that a string may have
@@ -48,6 +48,8 @@ SLICE = 1 << 18  # strings whose numbers are in memory at once, about 60 bytes e
 BLOCK = 4 << 20  # of text, unpacked at once
 UNIT = 2  # blocks
 BUCKET = 8 << 20  # bytes of hashes a bucket gets, about
+TREES = 1 << 16  # suffixes whose trees are in memory at once, about 600 bytes each
+WIDE = 1 << 12  # suffixes at crowded grams whose strings are in memory at once
 NULL = -(1 << 63)
 U = np.uint64
 LOW48 = U((1 << 48) - 1)
@@ -179,6 +181,14 @@ def units(docs: DataFrame, block: int) -> DataFrame:
         return written(slim.mapInPandas(_pack(block), UNITS), "units", "part")
 
 
+def each_unit(texts: DataFrame, answers: DataFrame, f, schema: str, name: str, *columns: str) -> DataFrame:
+    """What f gives for each unit and its answers, or these columns of it, written. Units come to Python one at a time,
+    however many a part has; they stay in their part's bucket, and only the answers move."""
+    with settings(texts.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        out = texts.groupBy("part", "unit").cogroup(answers.groupBy("part", "unit")).applyInPandas(f, schema)
+        return written(out.select(*columns) if columns else out, name)
+
+
 def _open(r):
     """A unit's blocks, one at a time, with the place of each in the unit and its documents' nulls."""
     at = 0
@@ -442,14 +452,19 @@ def maximal_repeats(h: np.ndarray, doc: np.ndarray, back: np.ndarray, left: np.n
 
 
 def _gone(h, doc, left, right, text, gram: int = GRAM):
-    """Rows of which strings are removed, and the places of the gram in these strings, least and greatest."""
+    """Rows of which strings are removed, once each, and the places of the gram in these strings, least and greatest:
+    all of a row's strings hold its gram, so what they cover is one run."""
     back, ahead = np.ascontiguousarray(text[:, :LEFT][:, ::-1]), np.ascontiguousarray(text[:, LEFT:])
     own, n, first, last = maximal_repeats(h, doc, back, left, ahead, right, gram)
     if not len(own):
         return own, own, own
     least = np.minimum.reduceat(doc[own], np.concatenate([[0], np.cumsum(n)[:-1]]))
     gone = doc[own] > np.repeat(least, n)
-    return own[gone], np.repeat(first, n)[gone], np.repeat(last, n)[gone]
+    low, high = np.full(len(doc), LENGTH), np.full(len(doc), -1)
+    np.minimum.at(low, own[gone], np.repeat(first, n)[gone])
+    np.maximum.at(high, own[gone], np.repeat(last, n)[gone])
+    own = np.flatnonzero(high >= 0)
+    return own, low[own], high[own]
 
 
 def _packed(part: np.ndarray, unit: np.ndarray, *fields: np.ndarray) -> pd.DataFrame:
@@ -461,15 +476,32 @@ def _packed(part: np.ndarray, unit: np.ndarray, *fields: np.ndarray) -> pd.DataF
     return pd.DataFrame(rows, columns=["part", "unit", "kind", "data"])
 
 
+def _apart(h: np.ndarray):
+    """The rows in groups of about TREES, which part no gram: each gram's trees are its own."""
+    order = np.argsort(h, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+    cuts = np.unique(edges[np.searchsorted(edges, np.arange(0, len(h), TREES), "right") - 1])
+    return np.split(order, cuts[1:])
+
+
 def _buckets(batches):
     """What the trees of each bucket remove, from rows sorted by bucket."""
     rest = []
 
     def solve(rows):
-        h, doc, at, left, right, text = (np.concatenate(v) for v in zip(*(_parse(n, data) for *_, n, data in rows)))
         n = [r[3] for r in rows]
         part, unit = np.repeat([r[1] for r in rows], n), np.repeat([r[2] for r in rows], n)
-        own, first, last = _gone(h, doc, left, right, text)
+        fields, k = [np.empty((sum(n), width)[: 1 + (width > 1)], kind) for kind, width in FIELDS], 0
+        for i, (*_, size, data) in enumerate(rows):
+            for into, v in zip(fields, _parse(size, data)):
+                into[k : k + size] = v
+            k, rows[i] = k + size, None
+        h, doc, at, left, right, text = fields
+        found = []
+        for own in _apart(h):
+            gone, first, last = _gone(h[own], doc[own], left[own], right[own], text[own])
+            found.append((own[gone], first, last))
+        own, first, last = (np.concatenate(v) for v in zip(*found))
         return _packed(part[own], unit[own], at[own], first, last)
 
     for pdf in batches:
@@ -495,8 +527,8 @@ def _wide_words(text: np.ndarray) -> np.ndarray:
 def _longer(batches):
     """The strings of suffixes at crowded grams pick again, among their grams of LONGER bytes."""
     for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            _, doc, at, left, right, text = _parse(r.n, r.data)
+        for r, k in ((r, k) for r in pdf.itertuples(index=False) for k in range(0, r.n, WIDE)):
+            _, doc, at, left, right, text = (v[k : k + WIDE] for v in _parse(r.n, r.data))
             w = _wide_words(text)
             n = LEFT + LENGTH - LONGER + 1
             g = np.zeros((len(at), n), U)
@@ -618,7 +650,7 @@ def deduplicate(docs: DataFrame, with_bytes: bool = False, hot: int = HOT, block
     with small_batches(docs.sparkSession, 1):
         asked = texts.mapInPandas(_ask(buckets, local), "bucket int, part long, unit long, h binary, c binary, docs binary")
         answers = written(asked.groupBy("bucket").applyInPandas(_answer(hot), "part long, unit long, bucket int, gone binary, again binary, often binary"), "answers")
-    sent = written(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_send(buckets, local), SENT), "suffixes")
+    sent = each_unit(texts, answers, _send(buckets, local), SENT, "suffixes")
     drop(answers)
     with small_batches(docs.sparkSession, 64):
         cold = sent.where("kind = 0").select("bucket", "part", "unit", "n", "data").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_buckets, "part long, unit long, kind int, data binary")
@@ -628,8 +660,8 @@ def deduplicate(docs: DataFrame, with_bytes: bool = False, hot: int = HOT, block
     every = runs[0]
     for x in runs[1:]:
         every = every.union(x)
-    out = texts.groupBy("part").cogroup(every.groupBy("part")).applyInPandas(_cut(with_bytes), OUT)
-    return out if with_bytes else out.drop("kept")
+    columns = [c.split()[0] for c in OUT.split(", ")]
+    return each_unit(texts, every, _cut(with_bytes), OUT, "deduplicate", *columns[: None if with_bytes else -1])
 
 
 def op6_repeat_tree(spark, sf_dir: str) -> DataFrame:
