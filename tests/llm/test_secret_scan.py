@@ -168,3 +168,39 @@ def test_forged_frames_and_long_lines(spark):
     assert [k for _, k, _ in op.scan("x" * 2_000_000 + f" %41{KEY[1:]}")[1]] == [1]
     assert tracemalloc.get_traced_memory()[1] < 150e6
     tracemalloc.stop()
+
+
+def test_oversized_layers_are_searched_as_smaller_ones(monkeypatch):
+    """What is found doesn't depend on MAX_LAYER, and so on no layer's size; nested layers, wide gaps and inlined content included."""
+    r = random.Random(9)
+    monkeypatch.setattr(op, "PIECE", 300)
+    monkeypatch.setattr(op, "REPEAT", 1 << 7)
+    monkeypatch.setattr(op, "_REPEATS", op.re.compile(rb"([\s\S])\1{255,}"))
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda t, n: "\n".join(t[i : i + n] for i in range(0, len(t), n))
+    noise = lambda n: "".join(r.choice(["word ", "Next, ", "a+b/c ", "100% ", "x\n", "; ", "token ", "é", "= ", ": ", "> ", "  ", "BZh9", "\\", "q" * 40]) for _ in range(n))
+    hits = 0
+    for _ in range(150):
+        inner = r.choice([KEY, "deadbeef" * 4, "token" + " " * r.randrange(700) + "=" + " " * r.randrange(700) + "abcdef1", 'passwd=token": abcdefgh', "secret=" + "v" * r.randrange(1000)])
+        form = r.choice([str, lambda t: b64(t.encode()), lambda t: wrap(b64((t + noise(40)).encode()), 60), lambda t: "".join(f"%{c:02X}" for c in t.encode()), lambda t: b64(gzip.compress(t.encode())), lambda t: urllib.parse.quote(gzip.compress(t.encode())), lambda t: b64(b64(t.encode()).encode())])
+        raw = (noise(r.randrange(200)) + r.choice(["", " ", "\n", "\0" * 900]) + form(inner) + r.choice(["", " ", "\n", " " * 900]) + noise(r.randrange(200))).encode()
+        raw = r.choice([bytes, bytes, gzip.compress])(raw)
+        packed = r.choice([gzip.compress, zlib.compress, bz2.compress])(raw)
+        if r.random() < 0.2:
+            packed += f" {KEY}".encode()
+        text = r.choice(["a ", "token=", "secret: "]) + r.choice([b64(packed), "".join(f"%{c:02X}" for c in packed), urllib.parse.quote(packed)]) + " z"
+        monkeypatch.setattr(op, "MAX_LAYER", 1 << 24)
+        want = op.scan(text, oversized=True)
+        monkeypatch.setattr(op, "MAX_LAYER", 100)
+        assert op.scan(text, oversized=True) == want, (raw, text)
+        hits += len(want[1]) > len(want[0])
+    assert hits > 75
+
+
+def test_layers_below_oversized_ones():
+    pad = ("some words, and more. " * 50 + "\n") * (op.MAX_LAYER // 1100 + 1)
+    deep = base64.b64encode(gzip.compress(f"the key {KEY} ok".encode())).decode()
+    gap = f"token{' ' * 100_000}= {'abcdef' * 3}"
+    for inner, kind in ((deep, 1), (gap, 0), ("".join(f"%{b:02X}" for b in KEY.encode()), 1)):
+        text = base64.b64encode(gzip.compress(f"{pad} {inner} {pad}".encode())).decode()
+        assert op.scan(text, oversized=True)[1] == [(0, kind, len(text))]

@@ -14,11 +14,13 @@ is the whole match, in code points, end exclusive.
 
 Defined results: null text is empty; no match gives zero counts, an empty string of spans and the SHA-256 of
 nothing. Repeated rows get a row each; extra columns are ignored; an empty table gives no rows. A layer that
-unpacks to over MAX_LAYER bytes is scanned as a stream of windows that share OVERLAP bytes, up to MAX_STREAM
-bytes, and not searched for further layers; scan() alone leaves it as it is unless told otherwise. Concatenated
-members are all unpacked, and damaged ones as far as they go. Very long texts are scanned whole; a line with
-escapes takes 16 bytes a character for its places. A chain of one escape (%2525...) is peeled in one step, without
-the layers between.
+unpacks to over MAX_LAYER bytes is read as a stream, to its end, in segments of about PIECE bytes, cut only where no
+match, escape, line with escapes or run of base64 goes on; each is scanned and searched for layers like any other,
+so the spans are those of the whole. scan() alone leaves such a layer as it is unless told otherwise. What can't be
+cut (a line with escapes, a run of base64, content that is compressed again) is held whole, but for long repeats of
+one byte. Concatenated members are all unpacked, and damaged ones as far as they go. Very long texts are scanned
+whole; a line with escapes takes 16 bytes a character for its places. A chain of one escape (%2525...) is peeled in
+one step, without the layers between.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_LAYER = 1 << 24
-PIECE, OVERLAP, MAX_STREAM = 1 << 20, 1 << 16, 1 << 34
+PIECE, REPEAT = 1 << 20, 1 << 16
 KINDS = ("assign", "access", "hex")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -58,6 +60,14 @@ _QUOTED = re.compile(r"%([0-9A-Fa-f]{2})")
 _PLUS = re.compile(r"%([0-9A-Fa-f]{2})|(\+)")  # form encoding: + is a space
 _REPR = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])""")
 _SPACE = re.compile(rb"\s")
+#: Bytes after which no match or layer goes on if their line has no escapes before them: line ends that join no base64,
+#: bytes that nothing is made of, and single spaces apart from : and =.
+_CUT = re.compile(
+    rb"""\n(?=[ \t>]*[^ \t>A-Za-z0-9+/_-])|(?<=[^A-Za-z0-9+/_\t \r-])\n"""
+    rb"""|[^A-Za-z0-9+/_.=:"'%\\ \t\r\n>(^\x01\x08\x1f-]|(?<=[^:=\t\r\n> ])\x20(?=[^:=\t\r\n> ])"""
+)
+_MARK = re.compile(rb"%|\\|" + _PACKED.pattern)
+_REPEATS = re.compile(rb"([\s\S])\1{%d,}" % (2 * REPEAT - 1))
 _DAMAGE = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
 _SHORT = dict(zip("abfnrtv0+", b"\a\b\f\n\r\t\v\0 "))
 
@@ -102,20 +112,68 @@ class Packed:
         """What follows the members."""
         return bytes(self.data[self.used :]) if self.sound else b""
 
-    def kinds(self) -> set[int]:
-        """The numbers of the kinds that the content has matches of, read through overlapping windows."""
-        have, window, fresh, last, total = set(), b"", 0, b"", 0
-        for piece in chain(self.pieces(), [b""]):
-            window += piece
-            fresh, total = fresh + len(piece), total + len(piece)
-            if piece and fresh < PIECE:
-                continue
-            if window != last:
-                have |= {k for _, k, _ in matches(_utf8(window))}
-            if len(have) == len(KINDS) or total > MAX_STREAM:
+    def again(self) -> list[str | Packed] | None:
+        """What the content unpacks to, if it is compressed again."""
+        head = b""
+        for piece in self.pieces():
+            head += piece
+            if len(head) >= PIECE:
                 break
-            window, fresh, last = window[-OVERLAP:], 0, window
-        return have
+        return contents(b"".join(self.pieces())) if any(True for _ in Packed(head).pieces()) else None
+
+    def parts(self):
+        """The content, in segments that nothing spans; or, if it is compressed again, what that unpacks to."""
+        if (got := self.again()) is not None:
+            yield from got
+            return
+        last = b""
+        for own in segments(self.pieces()):
+            if own != last:
+                yield _utf8(own)
+            last = own
+
+    def ends(self) -> str | None:
+        """The first segment and the last, between which nothing goes on; None if these bytes aren't one text."""
+        if (got := self.again()) is not None:
+            one = _one(got)
+        else:
+            first = last = None
+            for own in segments(self.pieces()):
+                first, last = own if first is None else first, own
+            one = _utf8(first if first is last else first + b"\0" + last)
+        return one if self.sound and not self.rest() else None
+
+
+def _cut(data: bytes) -> int:
+    """The last place to cut, or 0; in a line with escapes, or with compressed bytes that may have some, it is before them."""
+    hi = len(data)
+    while hi > 0:
+        start = data.rfind(b"\n", 0, hi) + 1
+        stop = m.start() if (m := _MARK.search(data, start, hi)) else hi
+        least = max(0, start - 1)
+        for lo in {max(least, stop - REPEAT): 0, least: 0}:
+            if at := [m.end() for m in _CUT.finditer(data, lo, stop)]:
+                return at[-1]
+        hi = start - 1
+    return 0
+
+
+def segments(pieces):
+    """The bytes cut where nothing goes on. Repeats of one byte too long to be cut lose a multiple of REPEAT of it,
+    which keeps what they match, and how they decode."""
+    data, need = b"", PIECE
+    for piece in pieces:
+        data += piece
+        if len(data) < need:
+            continue
+        if k := _cut(data):
+            yield data[:k]
+            data = data[k:]
+        elif not _MARK.search(data):
+            data = _REPEATS.sub(lambda m: m[1] * (REPEAT + len(m[0]) % REPEAT), data)
+        need = max(PIECE, 2 * len(data))
+    if data:
+        yield data
 
 
 class _Zstd:
@@ -193,8 +251,11 @@ def contents(data: bytes) -> list[str | Packed]:
 
 def readable(data: bytes) -> str:
     """The one text in the bytes, through compression; else the bytes themselves as text."""
-    got = contents(data)
-    return got[0] if len(got) == 1 and isinstance(got[0], str) else _utf8(data)
+    return _utf8(data) if (one := _one(contents(data))) is None else one
+
+
+def _one(got: list[str | Packed]) -> str | None:
+    return None if len(got) != 1 else got[0] if isinstance(got[0], str) else got[0].ends()
 
 
 def _unescape(run: str) -> str | None:
@@ -224,18 +285,18 @@ def _base64(run: str) -> list[str | Packed]:
 
 def _joined(text: str):
     """(start, end, run) of base64 runs joined over line ends: all lines, all but the first, and those of one width with the last one's rest."""
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
     for m in _WRAPPED.finditer(text):
-        lines, k = [], m.start()
-        for gap in _BREAK.finditer(text, m.start(), m.end()):
-            lines.append((k, gap.start()))
-            k = gap.end()
-        lines.append((k, m.end()))
-        n, width = len(lines), [b - a for a, b in lines]
-        cuts = [0, *[i for i in range(1, n) if width[i] != width[i - 1]], n]
-        spans = {(0, n), (1, n), *[(a, min(n, b + 1)) for a, b in zip(cuts, cuts[1:])]}
-        for a, b in sorted(spans):
-            if b - a > 1 and sum(width[a:b]) >= 16:
-                yield lines[a][0], lines[b - 1][1], "".join(text[i:j] for i, j in lines[a:b])
+        gaps = np.fromiter((k for gap in _BREAK.finditer(text, *m.span()) for k in gap.span()), kind).reshape(-1, 2)
+        first, end = np.append(kind(m.start()), gaps[:, 1]), np.append(gaps[:, 0], kind(m.end()))
+        n, width = len(first), end - first
+        cuts = np.concatenate([[0], np.flatnonzero(width[1:] != width[:-1]) + 1, [n]])
+        a, b = np.concatenate([[[0, n]], [[1, n]], np.stack([cuts[:-1], np.minimum(n, cuts[1:] + 1)], 1)]).T
+        total = np.append(0, np.cumsum(width))
+        on = (b - a > 1) & (total[b] - total[a] >= 16)
+        lo, hi = first[a[on]], end[b[on] - 1]
+        for i, j in zip(lo.tolist(), hi.tolist()) if len(lo) > 3 else sorted(set(zip(lo.tolist(), hi.tolist()))):
+            yield i, j, _BREAK.sub("", text[i:j])
 
 
 def _quoted(text: str):
@@ -338,24 +399,39 @@ def scan(text: str | None, oversized: bool = False) -> tuple[list[tuple[int, int
     """Base and all spans, each (start, kind's number, end), sorted; of layers over MAX_LAYER only if `oversized`."""
     text = text or ""
     base = sorted(matches(text))
-    found, seen, work = set(base), set(), list(layers(text, None))
+    found, read = set(base), set()
+    _search(list(layers(text, None)), found, read if oversized else None)
+    return base, sorted(found)
+
+
+def _search(work: list, found: set, read: set | None) -> None:
+    """Adds the spans of these layers and of all below them. read: the readers that were met, or None to leave them."""
+    seen, work = set(), [iter(work)]
     while work:
-        layer, where = work.pop()
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, where = got
         if isinstance(layer, Packed):
-            key = (hashlib.sha256(layer.data).digest(), where, "packed")
-            if oversized and key not in seen:
-                seen.add(key)
-                found.update((where[0], k, where[1]) for k in layer.kinds())
-                work.append((_utf8(layer.rest()), where))
+            key = (hashlib.sha256(layer.data).digest(), where)
+            if read is not None and key not in read:
+                read.add(key)
+                for part in layer.parts():
+                    _search([(part, where)], found, read)
+                    if all((where[0], k, where[1]) in found for k in range(len(KINDS))):
+                        break  # all that any layer there can add
+                else:
+                    work.append(iter([(_utf8(layer.rest() if layer.sound else bytes(layer.data)), where)]))
             continue
         key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), where if isinstance(where, tuple) else (*where[0].tolist(), *where[-1].tolist()) if len(where) else ())
         if key in seen or not layer:
             continue
-        seen.add(key)
         for a, k, b in matches(layer):
             found.add((where[0], k, where[1]) if isinstance(where, tuple) else (int(where[a, 0]), k, int(where[b - 1, 1])))
-        work += layers(layer, where)
-    return base, sorted(found)
+        below = layers(layer, where)
+        if (got := next(below, None)) is not None:
+            seen.add(key)
+            work.append(chain([got], below))
 
 
 def _text(spans) -> str:
