@@ -107,3 +107,16 @@ def test_a_very_long_line_and_a_very_common_one(spark):
     rows = [(1, long + "\nsame line in all of them"), (2, long[:-50_000]), (3, long[: 1_000_000])] + [(10 + k, "same line in all of them\nsame line in all of them!") for k in range(200)]
     got = {x["doc_id"]: x["n_removed"] for x in op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {1: 0, 2: 1, 3: 0, **{10 + k: 2 for k in range(200)}}
+
+
+def test_bands_with_the_same_members_are_compared_once(spark, monkeypatch):
+    seen, small = [], op._small
+    monkeypatch.setattr(op, "_small", lambda members, percent: (seen.append(members.count()), small(members, percent))[1])
+    lines = [f"line {k} of the text, with some words of its own: {hashlib.sha256(bytes([k])).hexdigest()}" for k in range(6)]
+    text = [x + end for x in lines for end in ("", " a")]
+    text += ["ab", "abc"]
+    n, s1, s2 = zip(*op.described(text))
+    rows = [(k, n[k], s1[k], s2[k], keys.view("<i8").tolist(), text[k]) for k, keys in enumerate(op.bands(text))]
+    got = op.line_components(spark.createDataFrame(rows, "id long, n int, s1 long, s2 long, keys array<long>, text string"), 80)
+    assert sorted(map(tuple, got.collect())) == sorted((k, k - k % 2) for k in range(12)) and seen == [12]
+    assert all((a == op.shingles(x)).all() for a, x in zip(op._read([x.encode() for x in text]), text))

@@ -350,19 +350,34 @@ def _describe(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in LINE.split(", ")])
 
 
-def _read(line: bytes) -> np.ndarray:
-    return shingles(line.decode("utf-8", "surrogatepass"))
+def _read(rows: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each line, hashed many lines at once."""
+    out = []
+    for own in _chunks([x.decode("utf-8", "surrogatepass") for x in rows]):
+        h, at = _hashes(np.concatenate([_codes("\n".join(own)), np.zeros(WIDTH, U)]), WIDTH), 0
+        for x in own:
+            if len(x) >= WIDTH:
+                v = np.sort(h[at : at + len(x) - WIDTH + 1])
+                out.append(v[np.concatenate([[True], v[1:] != v[:-1]])])
+            else:
+                out.append(shingles(x))
+            at += len(x) + 1
+    return out
 
 
 def line_components(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the classes on confirmed links; reps: id, n, s1, s2, keys, text."""
+    """(id, component) of the classes on confirmed links; reps: id, n, s1, s2, keys, text.
+
+    Bands with the same members (by 128 bits of hashes) propose the same, so one of them is enough."""
     members = reps.select(F.explode("keys").alias("node"), "id", "n", "s1", "s2", F.col("id").alias("label"))
-    crowded = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "s1", "s2")).alias("p")).where("size > 1")
-    crowded = written(crowded, "bands")
+    whose = F.bit_xor(F.xxhash64("id")).alias("w1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("w2")
+    crowded = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), *whose).where("size > 1")
+    crowded = written(crowded.groupBy("size", "least", "w1", "w2").agg(F.min("node").alias("node")), "bands")
     found = _small(members.join(crowded.where(F.col("size") <= LEAF).select("node"), "node", "left_semi"), percent)
     large = crowded.where(F.col("size") > LEAF)
     known = large.count()
     if known:
+        large = written(large.select("node", "least").join(reps.select(F.col("id").alias("least"), F.struct("id", "n", "s1", "s2").alias("p")), "least"), "large")
         for x in large_nodes(members, F.broadcast(large) if known <= FEW else large, percent, None):
             found = found.union(x)
     proposed = written(found.distinct(), "proposed")

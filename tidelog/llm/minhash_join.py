@@ -263,19 +263,19 @@ def links_within(ids: list[int], labels: list[int], active: np.ndarray, sets: li
                 yield ids[k], ids[j]
 
 
-def _stored(s: bytes) -> np.ndarray:
-    return np.frombuffer(s, np.uint64)
+def _stored(rows: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in rows]
 
 
 def _judge(rows: DataFrame, percent: int, read=_stored) -> DataFrame:
-    """Confirmed links (a, b) within each grp of (grp, id, label, active, s); read gives a row's set from s."""
+    """Confirmed links (a, b) within each grp of (grp, id, label, active, s); read gives the sets of rows from their s."""
 
     def run(batches):
         for pdf in batches:
             found, grp = [], pdf["grp"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]])
             ids, labels, active = pdf["id"].tolist(), pdf["label"].tolist(), pdf["active"].to_numpy(bool)
-            sets = [read(x) for x in pdf["s"]]
+            sets = read(pdf["s"].tolist())
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a > 1:
                     found += links_within(ids[a:b], labels[a:b], active[a:b], sets[a:b], percent)
@@ -296,7 +296,7 @@ def _in_chunks(rows: DataFrame, everywhere: Column) -> DataFrame:
 def confirm(sets: DataFrame, groups: DataFrame, percent: int, read=_stored) -> DataFrame:
     """The links (a, b) that connect exactly what the confirmed pairs among each group of proposals connect.
 
-    sets: id, s, from which read makes the full set."""
+    sets: id, s, from which read makes the full sets."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sized = written(groups.join(sizes, "component"), "sized")
     sized = F.broadcast(sized) if sized.count() <= IDS else sized
