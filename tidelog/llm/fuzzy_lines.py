@@ -91,14 +91,25 @@ def sketch(h: np.ndarray, row: np.ndarray, rows: int, bins: int = BINS) -> np.nd
     """The values of each of the sets, of which h has the elements' hashes and row the set's number, ascending."""
     low, empty = np.full(rows * bins, 0xFFFFFFFF, V), np.ones(rows * bins, bool)
     base = (row * bins).astype(np.int32)
-    for a, b in _TURN:
-        at = (((h * a) >> V(16)) * V(bins) >> V(16)).view(np.int32) + base
-        new = np.flatnonzero(empty[at])
-        at, x = at[new], h[new] * b
+    for k, (a, b) in enumerate(_TURN):
+        at = h * a
+        at >>= V(16)
+        at *= V(bins)
+        at >>= V(16)
+        at = at.view(np.int32)
+        at += base
+        if k:
+            new = np.flatnonzero(empty[at])
+            at, x = at[new], h[new]
+            x *= b
+        else:
+            x = h * b
         x ^= x >> V(15)
         x *= V(0x85EBCA6B)
         np.minimum.at(low, at, x)
         empty[at] = False
+        if k > 3 and k % 3 and k < ROUNDS - 1:  # what is full gets nothing more, so this need not be known each time
+            continue
         left = empty.reshape(rows, bins).any(1)
         if not left.any():
             break
