@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import codec
 from tidelog.operators import lww, runs
 from tidelog.plans import trace
-from tidelog.plans.shared import floor_lookup, ranked
+from tidelog.plans.shared import floor_lookup, ranked, settings, written
 from tidelog.streaming import ingest
 
 
@@ -36,6 +36,29 @@ def test_bloom_filter(spark):
     assert codec.bloom_probe(keys.select(F.concat("key", F.lit("x")).alias("key")), bloom, 19171, 7).count() < 60
 
 
+def shuffled(spark):
+    """Rows and bytes written to shuffles so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    own = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in own), sum(s.shuffleWriteBytes() for s in own)
+
+
+def test_large_bloom_filters_shuffle_a_short_row_a_key(spark):
+    """Not a bitmap for each task, nor a row for each bit."""
+    n = 300_000
+    m, k = codec.bloom_size(n)
+    keys = spark.range(n, numPartitions=64).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        start = shuffled(spark)
+        bloom = written(codec.bloom_build(keys, m, k), "bloom")
+        built = shuffled(spark)
+        assert codec.bloom_probe(keys, bloom, m, k).count() == n
+        probed = shuffled(spark)
+        assert codec.bloom_probe(keys.select(F.concat("key", F.lit("?")).alias("key")), bloom, m, k).count() < 1.2 * codec.FALSE_POSITIVES * n
+    assert built[0] - start[0] == n and built[1] - start[1] < 24 * n
+    assert probed[0] - built[0] < 1.01 * n
+
+
 def test_logs_round_trip_and_skip_bad_lines(spark):
     rows = [("PUT", 'q"\\\n𐍈', ""), ("DELETE", "k", None), ("PUT", "", "v")]
     lines = spark.createDataFrame(rows, "op string, key string, value string").select(codec.log_line().alias("line"))

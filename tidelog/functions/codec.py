@@ -15,6 +15,8 @@ LEVEL_LIMITS = (5, 10, 15)
 STRIDE = 64
 FALSE_POSITIVES = 0.01
 SPLIT = 2000
+BLOCK = 32_768  # bits of a bitmap of Spark's
+FEW_BLOCKS = 64  # up to so many, a filter (256 kB) is merged and sent whole
 
 
 def log_line(op: str = "op", key: str = "key", value: str = "value") -> Column:
@@ -60,23 +62,45 @@ def bloom_columns(n: str, p: float = FALSE_POSITIVES) -> tuple[Column, Column]:
     return m.cast("long"), k.cast("long")
 
 
-def bloom_positions(key: Column, m: Column, k: Column) -> Column:
-    """The bits of a key, by double hashing; both hashes are 31 bits, so nothing wraps."""
+def bloom_blocks(m: int) -> tuple[int, int]:
+    """Blocks of a filter of m bits, each one bitmap, and the bits of a block."""
+    blocks = -(-m // BLOCK)
+    return blocks, -(-m // blocks)
+
+
+def bloom_hashes(key: Column, m: int) -> tuple[Column, Column, Column]:
+    """The block of a key, and two hashes of 31 bits, so that nothing wraps."""
     low = F.lit((1 << 31) - 1)
-    one, two = F.xxhash64(F.lit(1), key).bitwiseAND(low), F.xxhash64(F.lit(2), key).bitwiseAND(low)
-    return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.pmod(one + i * two, m))
+    block = F.pmod(F.xxhash64(F.lit(3), key), F.lit(bloom_blocks(m)[0]).cast("long"))
+    return block, F.xxhash64(F.lit(1), key).bitwiseAND(low), F.xxhash64(F.lit(2), key).bitwiseAND(low)
+
+
+def bloom_positions(one: Column, two: Column, m: int, k: int) -> list[Column]:
+    """The k bits of a key in its block, by double hashing."""
+    return [F.pmod(one + F.lit(i).cast("long") * two, F.lit(bloom_blocks(m)[1]).cast("long")) for i in range(k)]
 
 
 def bloom_build(keys: DataFrame, m: int, k: int) -> DataFrame:
-    """The filter as bitmaps of 32,768 bits: (bucket, bits). Partial bitmaps are merged, so no key is shuffled."""
-    at = keys.select(F.explode(bloom_positions(F.col("key"), F.lit(m), F.lit(k))).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    """The filter as bitmaps of up to 32,768 bits: (bucket, bits). All bits of a key are in one bitmap (a blocked filter).
+
+    A large filter's keys are dealt out by bitmap, a short row each, for partial bitmaps would be a whole filter
+    for each task. Those of a few bitmaps are merged before the shuffle, so no key moves."""
+    block, one, two = bloom_hashes(F.col("key"), m)
+    at = keys.select(block.alias("bucket"), one.alias("one"), two.alias("two"))
+    if bloom_blocks(m)[0] > FEW_BLOCKS:
+        at = at.repartition("bucket")
+    own = at.groupBy("bucket").agg(*[F.bitmap_construct_agg(p).alias(f"b{i}") for i, p in enumerate(bloom_positions(F.col("one"), F.col("two"), m, k))])
+    return own.select("bucket", F.explode(F.array(*own.columns[1:])).alias("bits")).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def bloom_probe(keys: DataFrame, bloom: DataFrame, m: int, k: int) -> DataFrame:
-    """The keys that the filter might contain."""
-    at = keys.select("key", F.explode(F.array_distinct(bloom_positions(F.col("key"), F.lit(m), F.lit(k)))).alias("at"))
-    at = at.withColumn("bucket", F.bitmap_bucket_number(F.col("at") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("at") + 1))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, F.col("bit").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
-    return at.join(bloom, "bucket", "left").groupBy("key").agg(F.min(hit).alias("all")).where("all").select("key")
+    """The keys that the filter might contain, once each. A key meets its one bitmap: a large filter is joined by bitmap, a
+    row for each key, a small one is broadcast."""
+    block, one, two = bloom_hashes(F.col("key"), m)
+    words = bloom.select("bucket", F.transform(F.regexp_extract_all(F.hex("bits"), F.lit(".{16}"), F.lit(0)), lambda x: F.conv(x, 16, -10).cast("long")).alias("words"))
+    words = words.hint("shuffle_hash") if bloom_blocks(m)[0] > FEW_BLOCKS else F.broadcast(words)
+    both = keys.select("key", block.alias("bucket")).join(words, "bucket")
+    for p in bloom_positions(one, two, m, k):  # hex is byte by byte, and bits count from a byte's low end
+        word, bit = F.shiftright(p, 6).cast("int"), p.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56)).cast("int")
+        both = both.where(F.getbit(F.col("words")[word], bit) == 1)
+    return both.select("bucket", "key").distinct().select("key")

@@ -208,11 +208,11 @@ def bloom_params(spark, sf_dir):
 @query(f"{L} SELECT count(*) AS n_keys, 0 AS n_missed, true AS few_false FROM LW")
 def bloom_no_false_negative(spark, sf_dir):
     """Every key of the table is found by its filter, and few keys that it doesn't have."""
-    keys = lww.latest(logs.log_lineitem(spark, sf_dir)).select("key")
+    keys = written(lww.latest(logs.log_lineitem(spark, sf_dir)).select("key"), "keys")
     n = keys.count()
     m, k = codec.bloom_size(n)
     bloom = written(codec.bloom_build(keys, m, k), "bloom")
-    both = keys.select("key").union(keys.select(F.concat("key", F.lit("?")).alias("key")))
+    both = keys.union(keys.select(F.concat("key", F.lit("?")).alias("key")))
     found = codec.bloom_probe(both, bloom, m, k).agg(F.count_if(~F.col("key").endswith("?")).alias("hits"), F.count_if(F.col("key").endswith("?")).alias("wrong"))
     return found.select(F.lit(n).cast("long").alias("n_keys"), (F.lit(n) - F.col("hits")).cast("int").alias("n_missed"), (F.col("wrong") <= 3 * codec.FALSE_POSITIVES * n + 10).alias("few_false"))
 
