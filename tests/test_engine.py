@@ -298,3 +298,15 @@ for i in range(10000):
     engine.flush()
     again = Engine.open(spark, engine.path)
     assert {r["key"] for r in again.live().collect()} == {*found, "after"}
+
+
+def test_logs_of_frames_are_compressed_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelog.engine.LOG_ROWS", 10)
+    engine = Engine.open(spark, f"file://{tmp_path}/db")
+    engine.append(spark.range(25).coalesce(1).selectExpr("concat('k', id % 20) as key", "'PUT' as op", "cast(id as string) as value", "id as pos"))
+    engine.put("k1", "new")
+    assert sum(n.endswith(".json.gz") for n in engine.files.names("wal/batch=1")) == 3
+    table = {f"k{i % 20}": str(i) for i in range(25)} | {"k1": "new"}
+    same(engine, table)
+    engine.flush()
+    same(Engine.open(spark, engine.path), table)

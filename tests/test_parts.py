@@ -59,6 +59,22 @@ def test_large_bloom_filters_shuffle_a_short_row_a_key(spark):
     assert probed[0] - built[0] < 1.01 * n
 
 
+def test_rankings_and_lookups_shuffle_rows_once(spark):
+    """What is ranked moves by range alone, however large it is; columns that only order the rows aren't kept."""
+    n = 5000
+    rows = spark.range(n, numPartitions=8).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("key"), F.struct((n - F.col("id")).alias("a"), "id").alias("seq"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        start = shuffled(spark)
+        got = ranked(rows, F.col("seq"), without=("seq",))
+        assert got.columns == ["key", "rn"] and {r["key"]: r["rn"] for r in got.collect()} == {f"k{i:05d}": n - i for i in range(n)}
+        sorted_once = shuffled(spark)
+        near = floor_lookup(rows.select("key"), rows.where("seq.id % 10 = 0").select("key"), "near")
+        assert {r["key"]: r["near"] for r in near.collect()} == {f"k{i:05d}": f"k{i // 10 * 10:05d}" for i in range(n)}
+        looked_up = shuffled(spark)
+    assert sorted_once[0] - start[0] < 1.1 * n
+    assert looked_up[0] - sorted_once[0] < 2.3 * n  # 1.1 n rows by range, then again for the window over a range's rows
+
+
 def test_logs_round_trip_and_skip_bad_lines(spark):
     rows = [("PUT", 'q"\\\n𐍈', ""), ("DELETE", "k", None), ("PUT", "", "v")]
     lines = spark.createDataFrame(rows, "op string, key string, value string").select(codec.log_line().alias("line"))

@@ -1,6 +1,7 @@
 """The engine: an ordered key-value table over a mutation log, kept under one directory.
 
-    wal/batch=N/        JSON lines (operation, key, value, pos), each batch claimed, then published by a rename
+    wal/batch=N/        JSON lines (operation, key, value, pos), each batch claimed, then published by a rename;
+                        those of a DataFrame are compressed
     runs/run-N-*/       Parquet, sorted by key, with a Bloom filter on it
     manifest/V.json     which files are live, in which level, and up to which batch the log is flushed
 
@@ -35,6 +36,7 @@ from tidelog.sources import manifest as mf
 LOG_SCHEMA = "operation string, key string, value string, pos bigint, batch bigint"
 BOTTOM = len(LEVEL_LIMITS) - 1
 FLUSH_ROWS, FLUSH_BATCHES = 2000, 200
+LOG_ROWS = 1_000_000  # mutations of a file of an append: compressed files are read whole, by one task each
 FEW_KEYS = 10_000  # distinct keys of a lookup that are held against the files' ranges one by one
 BLOOM_KEYS = 1_000_000  # distinct keys a row group is expected to hold
 
@@ -125,7 +127,7 @@ class Engine:
         bad = F.expr("op = 'PUT' and (key = '' or value is null) or key is null or op is null or op not in ('PUT', 'DELETE')")
         temp, seen = f".batch-{uuid.uuid4().hex}", Observation()
         log = log.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"))
-        log.select(F.col("op").alias("operation"), "key", F.when(F.col("op") == PUT, F.col("value")).alias("value"), F.col("pos").cast("long").alias("pos")).write.option("ignoreNullFields", "false").json(f"{self.path}/{temp}")
+        log.select(F.col("op").alias("operation"), "key", F.when(F.col("op") == PUT, F.col("value")).alias("value"), F.col("pos").cast("long").alias("pos")).write.option("ignoreNullFields", "false").option("compression", "gzip").option("maxRecordsPerFile", LOG_ROWS).json(f"{self.path}/{temp}")
         if seen.get["bad"]:
             self.files.delete(temp)
             raise InvalidKey("a PUT with an empty key or no value, or an unknown operation")

@@ -11,7 +11,7 @@ from tidelog.plans.shared import floor_lookup, ranked
 
 def flush_runs(log: DataFrame, n: int) -> DataFrame:
     """run, key, op, value: each n consecutive mutations are one run, newest a key, tombstones kept."""
-    cut = ranked(log, F.col("seq")).withColumn("run", F.floor((F.col("rn") - 1) / n).cast("long"))
+    cut = ranked(log, F.col("seq"), without=("seq",)).withColumn("run", F.floor((F.col("rn") - 1) / n).cast("long"))
     newest = cut.groupBy("run", "key").agg(F.max_by(F.struct("op", "value"), "rn").alias("m"))
     return newest.select("run", "key", "m.op", "m.value")
 

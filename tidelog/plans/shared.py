@@ -182,21 +182,20 @@ def tidy(f):
     return run
 
 
-def _ranged(df: DataFrame, order: list) -> DataFrame:
+def _ranged(df: DataFrame, order: list, without: tuple[str, ...] = ()) -> DataFrame:
     """Range-partitioned and sorted rows with __place, which holds the partition above bit 33."""
-    names = [f"__o{k}" for k in range(len(order))]
-    df = df.withColumns(dict(zip(names, order)))
-    df = df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__place", F.monotonically_increasing_id())
-    return written(df.drop(*names).withColumn("__part", F.shiftright("__place", 33)), "ranged")
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    return written(df.drop(*without).withColumn("__part", F.shiftright("__place", 33)), "ranged")
 
 
-def ranked(df: DataFrame, *order, name: str = "rn") -> DataFrame:
-    """df with its row number from 1 in a total order. Only one row a partition meets in a single task."""
-    rows = _ranged(df, list(order))
+def ranked(df: DataFrame, *order, name: str = "rn", without: tuple[str, ...] = ()) -> DataFrame:
+    """df with its row number from 1 in a total order, less the columns in `without`, which may be those of the order.
+    Only one row a partition meets in a single task, and only these rows are sent to the others."""
+    rows = _ranged(df, list(order), without)
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     first = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))
     number = F.col("__first") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.join(first, "__part").withColumn(name, number).drop("__part", "__place", "__first", "__n")
+    return rows.join(F.broadcast(first), "__part").withColumn(name, number).drop("__part", "__place", "__first", "__n")
 
 
 def floor_lookup(probes: DataFrame, index: DataFrame, found: str) -> DataFrame:
@@ -212,5 +211,5 @@ def floor_lookup(probes: DataFrame, index: DataFrame, found: str) -> DataFrame:
     last = rows.groupBy("__part").agg(F.max(own).alias("__last"))
     before = last.select("__part", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     near = F.last(own, ignorenulls=True).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__near", near).where("__probe = 1").join(before, "__part", "left")
+    rows = rows.withColumn("__near", near).where("__probe = 1").join(F.broadcast(before), "__part", "left")
     return rows.select("key", *extra, F.coalesce("__near", "__before").alias(found))

@@ -224,7 +224,7 @@ def level_limits(spark, sf_dir):
 
 @query(f"{L} SELECT rn, key, op, value FROM L")
 def wal_json_roundtrip(spark, sf_dir):
-    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"))
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), without=("seq",))
     return codec.parse_log(log.select("rn", codec.log_line().alias("line")))
 
 
@@ -333,7 +333,7 @@ def run_lines_end_at_bad(spark, sf_dir):
 def engine_manifest(spark, sf_dir):
     """The rows of the manifest after two flushes, by run."""
     engine = _fresh(spark)
-    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos", without=("seq",))
     half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
     for part in (log.where(F.col("pos") <= half), log.where(F.col("pos") > half)):
         engine.append(part)
@@ -346,7 +346,7 @@ def engine_manifest(spark, sf_dir):
 def engine_multi_get(spark, sf_dir):
     """A batch lookup over a settled level under a log."""
     engine = _fresh(spark)
-    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos", without=("seq",))
     half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
     engine.append(log.where(F.col("pos") <= half))
     engine.flush()
@@ -374,7 +374,7 @@ def stream_latest_state(spark, sf_dir):
 def engine_latest_state(spark, sf_dir):
     """The log appended in two batches, flushed, compacted to the bottom, reopened and read."""
     engine = _fresh(spark)
-    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos", without=("seq",))
     half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
     engine.append(log.where(F.col("pos") <= half))
     engine.flush()
@@ -390,7 +390,7 @@ def engine_latest_state(spark, sf_dir):
 def engine_scan(spark, sf_dir):
     """A range scan over a flushed run under a tail that is still only logged."""
     engine = _fresh(spark)
-    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos").drop("seq")
+    log = runs.ranked(logs.log_lineitem(spark, sf_dir), F.col("seq"), name="pos", without=("seq",))
     half = log.agg((F.max("pos") / 2).alias("h")).first()["h"] or 0
     engine.append(log.where(F.col("pos") <= half))
     engine.flush()
